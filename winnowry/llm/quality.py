@@ -78,21 +78,21 @@ def doubled_words(words: Column) -> Column:
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the base counts, base_failed and the transformed statistics to the rows."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1))
+    words = F.filter(F.split(F.btrim(t, F.lit(SPACES)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    gone = lambda c, chars: F.length(c) - F.length(F.translate(c, chars, ""))
+    count = lambda chars: F.regexp_count(t, F.lit(chars))
     base = (
         df.withColumn("_w", let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("rep"), doubled_words(w).alias("twice"))))
         .withColumn("_l", let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))))
         .withColumn("n_words", F.col("_w.n"))
-        .withColumn("word_chars", F.length(F.translate(t, SPACES, "")).cast("long"))
-        .withColumn("n_symbols", gone(t, "#*$%&|<>").cast("long"))
+        .withColumn("word_chars", (F.length(t) - count(r"[\x20\x09-\x0D]")).cast("long"))
+        .withColumn("n_symbols", count(r"[#*$%&|<>]").cast("long"))
         .withColumn("n_dup_lines", F.col("_l.dup"))
         .withColumn("n_repeat_words", F.col("_w.rep"))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     )
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    marks = gone(t, "!?;:=+_~^@{}[]\\/")
+    marks = count(r"[!?;:=+_~^@{}\[\]\\/]")
     return (
         base.withColumn("x_length", F.log(F.greatest(F.col("word_chars") / n, F.lit(0.5))))
         .withColumn("x_symbols", F.log(1 + 20 * F.col("n_symbols") / n))
