@@ -117,7 +117,7 @@ class TextCNN:
             at = z
         return out
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.02, seed: int = 3) -> None:
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 5, rate: float = 0.02, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         base = (y.sum() + 0.5) / (len(y) + 1)
         pos, tot = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -239,7 +239,7 @@ def _first_max(act: np.ndarray, starts: np.ndarray, top: np.ndarray) -> np.ndarr
 
 
 def train(texts: list, labels: list, langs: list, cut: float = 0.7, seed: int = 7) -> TextCNN:
-    """Fits on four fifths of the rows and calibrates on the rest."""
+    """Fits on four fifths of the rows, calibrates on the rest, then fits on all with that calibration."""
     y = np.array(labels, float)
     seen = Buckets()
     docs = [word_ids(t, seen) for t in texts]
@@ -256,7 +256,10 @@ def train(texts: list, labels: list, langs: list, cut: float = 0.7, seed: int =
     model.fit([d for d, b in zip(docs, back, strict=True) if not b], y[~back])
     held = back if back.any() else ~back
     model.calibrate([d for d, b in zip(docs, held, strict=True) if b], y[held], [x for x, b in zip(langs, held, strict=True) if b], cut)
-    return model
+    final = TextCNN(seed)
+    final.fit(docs, y)
+    final.scale, final.thresholds = model.scale, model.thresholds
+    return final
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list, list, list]:
