@@ -135,8 +135,13 @@ def _tie(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order[first], sig[first], np.unique(ties, axis=0) if len(ties) else ties
 
 
+def row_key():
+    """Names a row by its id and text: equal rows share it."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sets_of(df: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row; node is null for empty sets."""
+    """(doc_id, n_shingles, node, row_key) of every row; node is null for empty sets."""
     id_type = df.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -146,9 +151,12 @@ def sets_of(df: DataFrame, n: int) -> DataFrame:
         seen = WordHashes()
         for _, rows, texts in blocks(batches):
             sets = [shingles(t, n, seen) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in rows], kind), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([r["doc_id"] for r in rows], kind), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), "row_key": pa.array([r["row_key"] for r in rows], pa.int64()),
+            })
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n_shingles long, node long")
+    return df.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_shingles long, node long, row_key long")
 
 
 def ties(df: DataFrame, n: int, percent: int) -> DataFrame:
@@ -326,7 +334,7 @@ def resolve_large(sets: DataFrame, percent: int, chunk_sets: int = CHUNK_SETS, p
 
 
 def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, cluster_sets_: int = CLUSTER_SETS, cluster_elements: int = CLUSTER_ELEMENTS) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of every row of df (doc_id, text)."""
+    """(doc_id, n_shingles, node, row_key, component_id) of every row of df (doc_id, text)."""
     docs = df.select("doc_id", "text")
     rows = materialise(sets_of(docs, n))
     clusters = components(ties(docs, n, percent))
@@ -354,7 +362,33 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, cluster_set
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
     named = nodes.join(roots, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id")
     out = rows.join(named, F.col("node") == F.col("k"), "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "node", "row_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+#: Rows to drop that may be broadcast (8 bytes each); beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def one_per_group(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df (doc_id, text and any others) without those that are in the group of another row.
+
+    Of each group the row with the least id stays (with null ids only: the least
+    row key).  Rows without a shingle are in no group and all stay.
+    """
+    named = materialise(jaccard_components(df, n, percent).where("node is not null").select("doc_id", "row_key", "component_id", F.coalesce("component_id", "node").alias("grp")))
+    best = named.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("k"))
+    keys = named.groupBy("row_key").agg(F.count("*").alias("rows"))
+    flagged = keys.join(best, F.col("row_key") == F.col("k"), "left").select("row_key", "rows", F.col("k").isNotNull().alias("stays"))
+    gone = materialise(flagged.where("not stays or rows > 1"))
+    drop = gone.select(F.col("row_key").alias("_k"))
+    if gone.count() <= BROADCAST_ROWS:
+        drop = F.broadcast(drop)
+    keyed = df.withColumn("_key", row_key())
+    out = keyed.join(drop, F.col("_key") == F.col("_k"), "left_anti")
+    again = gone.where("stays").select(F.col("row_key").alias("_k"))
+    if not again.isEmpty():  # rows that are repeated as a whole: one of each
+        out = out.unionByName(keyed.join(again, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]))
+    return out.drop("_key")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,15 +77,44 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("source", F.when(taken, F.col("low") + 1).otherwise(F.col("low")).alias("cut"))
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every row; ``copies`` is how often the mix takes it."""
-    rows = materialise(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sized(df, text_col).alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - BITS).alias("hash")))
+def hashed(id_col: str, text_col: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - BITS)
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, source_size, target, whole, cut), one row per source: a document is taken ``whole`` times, and once more if its hash < cut.
+
+    rows: (source, hash, size).
+    """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = materialise(targets(sizes, weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size")))
+    goal = targets(sizes, weights, share, most)
+    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
+    goal = materialise(goal)
     cuts = thresholds(rows, goal.where("goal > 0"))
-    plan = goal.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
-    out = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).withColumn("copies", F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return goal.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
+
+
+def with_copies(df: DataFrame, planned: DataFrame, hash_: Column, source_col: str = "source") -> DataFrame:
+    """Adds source_size, target and copies to rows."""
+    p = planned.withColumnRenamed("source", "_source")
+    out = df.withColumn("_hash", hash_).join(p, F.col(source_col).eqNullSafe(F.col("_source")))
+    return out.withColumn("copies", (F.col("whole") + F.when(F.col("_hash") < F.col("cut"), 1).otherwise(0)).cast("long")).drop("_source", "_hash", "whole", "cut")
+
+
+def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) of every row; ``copies`` is how often the mix takes it."""
+    rows = materialise(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sized(df, text_col).alias("size"), hashed(id_col, text_col, seed).alias("hash")))
+    out = with_copies(rows, plan(rows, weights, share, most), F.col("hash"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The mix itself: the rows of df, each as often as it is taken."""
+    h = hashed(id_col, text_col, seed)
+    rows = materialise(df.select(F.col(source_col).alias("source"), sized(df, text_col).alias("size"), h.alias("hash")))
+    out = with_copies(df, materialise(plan(rows, weights, share, most)), h, source_col).where("copies > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[f"`{c}`" for c in df.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
