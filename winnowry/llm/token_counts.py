@@ -58,7 +58,7 @@ def pretokens(path: str, text: str) -> tuple[list[str], int]:
 
 def token_counts(df: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", n_buckets: int | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row; ``tokenizer``: path of a byte-level BPE .json."""
-    n_buckets = n_buckets or fan_out(df)
+    n_buckets = n_buckets or fan_out(df, factor=2)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType
 
