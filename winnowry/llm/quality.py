@@ -142,9 +142,17 @@ def groups(rows: DataFrame, min_rows: int) -> DataFrame:
     return n.select("lang", "source", F.when(F.col("n") >= min_rows, own).when(F.col("pool") >= min_rows, pool).otherwise(F.lit("all")).alias("grp"))
 
 
-def _keyed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+#: Most groups (rows of a few hundred bytes) that are broadcast; beyond it joins shuffle.
+BROADCAST_GROUPS = 20_000
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_GROUPS else df
+
+
+def _keyed(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     k = keys.withColumnRenamed("lang", "_kl").withColumnRenamed("source", "_ks")
-    return rows.join(k, rows["lang"].eqNullSafe(k["_kl"]) & rows["source"].eqNullSafe(k["_ks"]), "left").drop("_kl", "_ks")
+    return rows.join(_small(k, n), rows["lang"].eqNullSafe(k["_kl"]) & rows["source"].eqNullSafe(k["_ks"]), "left").drop("_kl", "_ks")
 
 
 def fit(rows: DataFrame, min_rows: int = 60, stats: list[str] = STATS) -> DataFrame:
@@ -156,21 +164,22 @@ def fit(rows: DataFrame, min_rows: int = 60, stats: list[str] = STATS) -> DataFr
     p, floors = len(stats), [FLOOR[x] for x in stats]
     floored = _floored(p, floors)
     keys = materialise(groups(rows.where(~F.col("base_failed")), min_rows))
-    x = _keyed(rows.where(~F.col("base_failed")).select("lang", "source", *stats), keys)
+    n = keys.count()
+    x = _keyed(rows.where(~F.col("base_failed")).select("lang", "source", *stats), keys, n)
     first = x.groupBy("grp").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"med{i}") for i, s in enumerate(stats)], *_moments(stats))
     first = materialise(first)
-    mad = x.join(first.select(F.col("grp").alias("_g"), *[f"med{i}" for i in range(p)]), F.col("grp") == F.col("_g"))
+    mad = x.join(_small(first.select(F.col("grp").alias("_g"), *[f"med{i}" for i in range(p)]), n), F.col("grp") == F.col("_g"))
     mad = mad.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(s) - F.col(f"med{i}")), 0.5, 1000).alias(f"mad{i}") for i, s in enumerate(stats)], *[F.first(f"med{i}").alias(f"m{i}") for i in range(p)])
     by_median = mad.select("grp", F.lit(0).alias("start"), *[f"m{i}" for i in range(p)], *[(F.pow(1.4826 * F.col(f"mad{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
     by_mean = first.select("grp", F.lit(1).alias("start"), *[f"m{i}" for i in range(p)], *[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])
     at = materialise(_whitener(floored(by_median.unionByName(by_mean)), p))
     for _ in range(STEPS):
-        d = x.join(at.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).select("grp", "start", *stats, _distance(stats).alias("d2"))
+        d = x.join(_small(at.withColumnRenamed("grp", "_g"), n), F.col("grp") == F.col("_g")).select("grp", "start", *stats, _distance(stats).alias("d2"))
         cut = materialise(d.groupBy("grp", "start").agg(F.percentile_approx("d2", CORE, 2000).alias("cut")))
-        near = d.join(cut.select(F.col("grp").alias("_g"), F.col("start").alias("_s"), "cut"), (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_s"))).where("d2 <= cut")
+        near = d.join(_small(cut.select(F.col("grp").alias("_g"), F.col("start").alias("_s"), "cut"), n), (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_s"))).where("d2 <= cut")
         at = materialise(_whitener(floored(near.groupBy("grp", "start").agg(*_moments(stats))), p))
     best = at.groupBy("grp").agg(F.min_by(F.struct(*[c for c in at.columns if c != "grp"]), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
-    d = x.join(best.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g"))
+    d = x.join(_small(best.withColumnRenamed("grp", "_g"), n), F.col("grp") == F.col("_g"))
     scale = d.groupBy("grp").agg(F.percentile_approx(_distance(stats), 0.5, 2000).alias("mid"))
     # never under 1: floors already widen the tight statistics
     scale = scale.select(F.col("grp").alias("_g"), F.greatest(F.col("mid") / CHI2_MEDIAN[p], F.lit(1.0)).alias("scale"))
@@ -180,7 +189,7 @@ def fit(rows: DataFrame, min_rows: int = 60, stats: list[str] = STATS) -> DataFr
 
 def judge(rows: DataFrame, fitted: DataFrame, cut: float = CUT, stats: list[str] = STATS) -> DataFrame:
     """Adds outlyingness (squared distance) and kept to rows with statistics."""
-    d = _keyed(rows, fitted).withColumn("outlyingness", F.coalesce(_distance(stats) / F.col("scale"), F.lit(0.0)))
+    d = _keyed(rows, fitted, fitted.count()).withColumn("outlyingness", F.coalesce(_distance(stats) / F.col("scale"), F.lit(0.0)))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("outlyingness") <= cut))
     return d.drop("grp", "scale", *[c for c in fitted.columns if c[0] in "mi" and c[1].isdigit()])
 
