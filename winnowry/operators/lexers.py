@@ -68,7 +68,7 @@ def _exploded(df: DataFrame, lexemes: Column) -> DataFrame:
 
 
 def lex_cpp(df: DataFrame) -> DataFrame:
-    d = _placed(_exploded(df, F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(f"({CPP})"), F.lit(1))))
+    d = _placed(_exploded(df, F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(CPP), F.lit(0))))
     x = F.col("lexeme")
     bare = F.regexp_replace(x, r"\A[ \t\r\n\x0B\f]+", "")
     lead = F.octet_length(x) - F.octet_length(bare)
