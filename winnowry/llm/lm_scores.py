@@ -9,7 +9,7 @@ by the first of them.  One head of masked self-attention over learned relative
 places and a feed-forward layer are trained in numpy on a bounded sample of
 training texts.  A word's probability is P(class | words before) x P(word | class), the second factor from the
 counts over all training texts, so the whole is a distribution over known words
-and the unknown one.  Long texts are cut into overlapping windows: each scores
+and one unknown word of each class.  Long texts are cut into overlapping windows: each scores
 its last ``STRIDE`` places only, with the places before as context, so every
 token is scored once.
 
@@ -366,8 +366,8 @@ def lm_scores(df: DataFrame, tokenizer: str, held_out) -> DataFrame:
         m, t, d = unpack(bytes(x))
         mass, total, distinct = mass + m, total + t, distinct + d
     bottom = total + 0.5 * (distinct + 1)
-    # the unknown word's mass is spread over the classes as the words are
-    share = (mass + 0.5 * (mass + 1) / (mass + 1).sum()) / bottom
+    # each class has an unknown word of its own, with the weight of half a use
+    share = (mass + 0.5) / bottom
     state["log_share"] = np.log(share)
     whole = spark.sparkContext.broadcast(pickle.dumps(state))
 

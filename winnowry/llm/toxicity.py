@@ -55,6 +55,13 @@ def word_ids(text: str | None, seen: Buckets) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), np.int32, len(words)) if words else np.full(1, PAD, np.int32)
 
 
+def _top(act: np.ndarray, starts: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+    """Maximum over the places of each document; places that begin in the padding would see the next one."""
+    ends = starts + [len(d) for d in docs]
+    cuts = np.stack([starts, ends], 1).ravel()
+    return np.maximum.reduceat(act, cuts[cuts < len(act)], axis=0)[::2]
+
+
 def _sigmoid(u):
     return 1 / (1 + np.exp(-np.clip(u, -40, 40)))
 
@@ -94,7 +101,7 @@ class TextCNN:
             act = parts[0].take(ids[:n], 0, mode="clip")
             for j in range(1, width):
                 act += parts[j].take(ids[j : n + j], 0, mode="clip")
-            top = np.maximum.reduceat(act, starts, axis=0)
+            top = _top(act, starts, docs)
             best.append(np.maximum(top + b, 0))
             if places:
                 # the first place in each document that has the maximum
@@ -192,7 +199,7 @@ class TextCNN:
             act = small[w][0][ids[:n]]
             for j in range(1, width):
                 act = act + small[w][j][ids[j : n + j]]
-            top = np.maximum.reduceat(act, starts, axis=0)
+            top = _top(act, starts, docs)
             best.append(np.maximum(top + b, 0))
             at.append(np.stack([_first_max(act[:, f], starts, top[:, f]) for f in range(FILTERS)], 1))
         return np.concatenate(best, 1), at, ids
