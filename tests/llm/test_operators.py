@@ -245,3 +245,17 @@ def test_windows_score_each_place_once():
 
 def test_digests():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"7") % 3 in (0, 1, 2)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_similar_sets_share_a_signature(percent):
+    rng = np.random.default_rng(3)
+    bands = jaccard.Bands(percent)
+    for _ in range(1500):
+        size = int(np.exp(rng.uniform(0, 7)))
+        gone, new = rng.integers(0, size, 2)
+        while 100 * (size - gone) < percent * (size + new):
+            gone, new = int(gone * 0.9), int(new * 0.9)
+        a = rng.integers(0, 2**63, size).astype(np.uint64)
+        b = np.concatenate([a[gone:], rng.integers(0, 2**63, new).astype(np.uint64)])
+        assert len(np.intersect1d(jaccard.signatures(np.unique(a), bands), jaccard.signatures(np.unique(b), bands)))

@@ -2,10 +2,18 @@
 
 Sets of word shingles are dealt to overlapping size bands, so that any two sets
 that are similar enough share a band.  Within a band such sets differ in at most
-k elements.  The domain is cut in n1 = ceil((k+1)/2) parts of 3 subparts by
-hash: some part then has at most one difference, so two of its subparts are
-equal in both sets.  A set's signatures are all (part, 2 of 3 subparts)
-projections; similar sets share one.
+k elements.  The domain is cut by hash in n1 > k / 2 parts of ``SUBPARTS``
+subparts: some part then has at most one difference, so all but one of its
+subparts are equal in both sets.  A set's signatures are the (part, all subparts
+but one) projections; similar sets share one.
+
+Projections of few elements say little, and empty ones are shared by chance, so
+a set leaves out what it need not have: to spoil all projections of at least m
+elements of one part takes 2 differences if all its projections are so large, 1
+if some are.  The set keeps projections from the largest m at which spoiling all
+parts takes more differences than it may have from any partner of the band.  Of
+two similar sets the one with the larger m thus shares a projection that both
+keep.  ``SLACK`` more parts than the least number leave room for a large m.
 
 1. Equal sets are one node (64-bit hash of the set).
 2. Blocks of documents make signatures; nodes that share one are tied to the
@@ -43,6 +51,8 @@ CLUSTER_ELEMENTS = 3_000_000
 CHUNK_SETS = 1_000
 PIVOTS = 64
 BLOOM_BITS = 26
+SUBPARTS = 4
+SLACK = 1.2
 REMEMBERED = 1_000_000
 U = np.uint64
 
@@ -90,9 +100,13 @@ class Bands:
     """Size bands for a threshold in percent; see the module's text."""
 
     def __init__(self, percent: int):
-        self.t, self.low, self.high, self.k = percent, [], [], []
+        self.t, self.low, self.top, self.high, self.parts = percent, [], [], [], []
         self.next = 1
 
+    def differences(self, a: int, b: int) -> int:
+        """The most elements that similar sets of sizes a and b differ in."""
+        return (100 - self.t) * (a + b) // (100 + self.t)
+
     def upto(self, size: int) -> None:
         while self.next <= size:
             low = self.next
@@ -100,27 +114,39 @@ class Bands:
             top = self.next - 1
             high = top * 100 // self.t
             self.low.append(low)
+            self.top.append(top)
             self.high.append(high)
-            self.k.append((100 - self.t) * (top + high) // (100 + self.t))
+            k = self.differences(top, high)
+            self.parts.append(max(k // 2, int(k * SLACK / 2)) + 1)
 
     def of(self, size: int) -> list[int]:
         self.upto(size)
         last = int(np.searchsorted(self.low, size, side="right")) - 1
         return [i for i in range(last, -1, -1) if self.high[i] >= size]
 
+    def most(self, i: int, size: int) -> int:
+        """The most differences a set has from a similar one, the smaller of both being in the band's own sizes."""
+        return self.differences(size, min(size * 100 // self.t, self.high[i]) if size <= self.top[i] else self.top[i])
+
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     for i in bands.of(len(s)):
-        n1 = bands.k[i] // 2 + 1
+        n1 = bands.parts[i]
+        cells = n1 * SUBPARTS
         e = mix(s + U((i * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        part = ((e >> U(32)) * U(3 * n1)) >> U(32)
-        sums = np.zeros(3 * n1, U)
-        np.add.at(sums, part.astype(np.int64), mix(e))
-        sums = sums.reshape(n1, 3)
-        two = sums.sum(1, keepdims=True, dtype=U) - sums  # the two subparts that stay when one is left out
-        name = np.arange(3 * n1, dtype=U) + (U(i) << U(40))
-        out.append(mix(two.ravel() + mix(name)))
+        cell = (((e >> U(32)) * U(cells)) >> U(32)).astype(np.int64)
+        count = np.bincount(cell, minlength=cells).reshape(n1, SUBPARTS)
+        count = count.sum(1, keepdims=True) - count
+        worth = np.concatenate([count.min(1), count.max(1)])  # elements at which a part takes 2 differences, or 1, to spoil
+        at = len(worth) - 1 - bands.most(i, len(s))
+        kept = (count >= np.partition(worth, at)[at]).ravel()
+        sums = np.zeros(cells, U)
+        np.add.at(sums, cell, mix(e))
+        sums = sums.reshape(n1, SUBPARTS)
+        rest = sums.sum(1, keepdims=True, dtype=U) - sums  # all subparts but one
+        name = np.arange(cells, dtype=U) + (U(i) << U(40))
+        out.append(mix(rest.ravel() + mix(name))[kept])
     return np.concatenate(out)
 
 
