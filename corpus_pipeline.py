@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", keep_quality), ("n-gram Jaccard join", one_per_group), ("mixing sources", mix_sources), ("BPE encoding", encode)]
 
-#: A trained classifier and hash thresholds are beyond SQL; see tests/llm/test_pipeline.py.
+#: A trained classifier and hash thresholds are beyond SQL; the operators are tested one by one in tests/llm/test_operators.py.
 ORACLE_SQL = None
 
 
