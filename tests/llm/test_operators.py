@@ -169,7 +169,9 @@ def test_quality_outliers(spark):
     assert {r.doc_id for r in got if not r.kept} == {i for i in range(600) if i % 50 == 7}
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("small", [1_000, 2, 0])
+def test_chat(spark, monkeypatch, small):
+    monkeypatch.setattr(chat, "SMALL_TREE", small)  # trees met by name, by node, or both
     odd = "<|im_end|><|im_start|>assistant ok &lt;| & <"
     rows = [(1, 0, None, "user", odd, 0.0), (1, 1, 0, "assistant", "A\n1", 1.0), (1, 2, 0, "assistant", None, 2.0), (1, 3, 1, "us\ner&", "", 5.0),
             (2, 0, 9, None, "orphan", None), (3, 0, 1, "user", "cycle", 0.0), (3, 1, 0, "user", "cycle", 0.0), (3, 2, 0, "assistant", "on it", 0.0), (None, 0, None, "assistant", odd, 0.0)]

@@ -17,7 +17,8 @@ Native: DataFrame functions only.
 
 Defined results: null texts and roles are empty; a message whose parent is
 absent is a root; messages on or under a cycle have no root and are in no
-path; equal scores rank by leaf id; extra columns are ignored.
+path; equal scores rank by leaf id; messages of trees named null are one tree;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: Trees of more messages are joined node by node; most such trees that are broadcast by name.
+SMALL_TREE, BROADCAST_TREES = 1_000, 100_000
 
 
 def escape(c: Column) -> Column:
@@ -59,7 +62,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     inner = linked.where("jump is not null").select(F.col("tree").alias("t"), F.col("jump").alias("j")).distinct()
     leaves = linked.join(inner, linked["tree"].eqNullSafe(inner["t"]) & (linked["node"] == inner["j"]), "left_anti")
     found = materialise(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    jump = linked.where("jump is not null")
+    jump, held = linked.where("jump is not null"), linked
     largest = linked.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
     step = 1
     while step <= largest and not jump.isEmpty():
@@ -67,7 +70,9 @@ def paths(nodes: DataFrame) -> DataFrame:
         more = found.join(j, found["tree"].eqNullSafe(j["t"]) & (found["node"] == j["n"])).select("tree", "leaf", F.col("jump").alias("node"), (F.col("up") + step).alias("up"))
         a, b = jump.alias("a"), jump.alias("b")
         further = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.jump") == F.col("b.node"))).select("a.tree", "a.node", "b.jump")
-        found, jump = materialise(found.unionByName(more)), materialise(further)
+        found, jump = found.unionByName(materialise(more)), materialise(further)  # each path row is written once
+        discard(held)
+        held = jump
         step *= 2
     if not jump.isEmpty():  # only a cycle still has pointers now: drop leaves that hang on one
         bad = jump.select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct()
@@ -88,16 +93,33 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
     return p.join(r, p["tree"].eqNullSafe(r["t"]) & (p["leaf"] == r["l"])).select("tree", "leaf", "node", "up", "branch_score", "rank")
 
 
-def chat_format(nodes: DataFrame, top: int | None = None, trained_role: str = "assistant") -> DataFrame:
+def chat_format(nodes: DataFrame, top: int | None = None, trained_role: str = "assistant", links: DataFrame | None = None) -> DataFrame:
     """(tree, leaf, rank, branch_score, n_turns, formatted, loss_spans): one row per chosen branch.
 
     nodes: (tree, node, parent, role, text, score).  Spans are (start, length) in code points.
+    links: the first three columns and the score of nodes, where a cheaper plan gives them.
     """
-    text = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    p = branches(nodes, top)
-    rows = p.join(text, p["tree"].eqNullSafe(text["t"]) & (p["node"] == text["n"]))
-    turn = F.struct((-F.col("up")).alias("at"), F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained_role).alias("loss"))
-    conv = rows.groupBy("tree", "leaf", "rank", "branch_score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    slim = materialise((nodes if links is None else links).select("tree", "node", "parent", "score"))
+    p = branches(slim, top)
+    spoken = F.struct(F.concat(F.lit(OPEN), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n")).alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), F.coalesce(F.col("role") == trained_role, F.lit(False)).alias("loss"))
+    text = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), spoken.alias("turn"))
+    # Trees of bounded size: their texts meet by tree, in one shuffle, and each path looks its turns up there.
+    # Larger ones (and those without a name) join node by node, so no task holds such a tree.
+    large = materialise(slim.groupBy("tree").count().where((F.col("count") > SMALL_TREE) | F.col("tree").isNull()).select(F.col("tree").alias("big")))
+    n_large = large.count()
+    near, said = p.where("tree is not null"), text.where("t is not null")
+    if n_large:
+        large = F.broadcast(large) if n_large <= BROADCAST_TREES else large
+        near = near.join(large, F.col("tree") == F.col("big"), "left_anti")
+        said = said.join(large, F.col("t") == F.col("big"), "left_anti")
+    near = near.groupBy("tree", "leaf", "rank", "branch_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "node"))).alias("path"))
+    said = said.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("n", "turn"))).alias("said"))
+    conv = near.join(said, F.col("tree") == F.col("t")).select("tree", "leaf", "rank", "branch_score", F.transform("path", lambda x: F.col("said")[x["node"]]).alias("turns"))
+    if n_large:
+        far, said = p.join(large, F.col("tree").eqNullSafe(F.col("big")), "left_semi"), text.join(large, F.col("t").eqNullSafe(F.col("big")), "left_semi")
+        rows = far.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+        rows = rows.groupBy("tree", "leaf", "rank", "branch_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn"))).alias("turns"))
+        conv = conv.unionByName(rows.withColumn("turns", F.transform("turns", lambda x: x["turn"])))
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     spans = F.aggregate(
         "turns", F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")),
@@ -129,12 +151,20 @@ def linear(conversations: DataFrame) -> DataFrame:
     return n.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def linear_links(conversations: DataFrame) -> DataFrame:
+    """(tree, node, parent, score) of ``linear``, the same rows whichever order the turns have, without shuffling texts for it."""
+    w = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first())
+    n = conversations.select("conv_id", F.row_number().over(w).cast("long").alias("node"))
+    return n.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one full of control strings, formatted, and read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    out = chat_format(linear(rows.unionByName(extra)))
+    rows = rows.unionByName(extra)
+    out = chat_format(linear(rows), links=linear_links(rows))
     turns = read_back(F.col("formatted"))
     loss = loss_text(F.col("formatted"), F.col("loss_spans"))
     told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
