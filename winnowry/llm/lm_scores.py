@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +94,8 @@ class Attention:
         lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
         self.lag, self.mask = np.maximum(lag, 0), np.where(lag < 0, np.float32(-1e9), np.float32(0))
 
-    def forward(self, x: np.ndarray, real: np.ndarray, keep: bool = False):
-        """x: (windows, places, DIM), the input before each place; real: which places stand for something."""
+    def forward(self, x: np.ndarray, real: np.ndarray, keep: bool = False, only: np.ndarray | None = None):
+        """x: (windows, places, DIM), the input before each place; real: which places stand for something; only: the places to give rows for (all, by window, if None)."""
         p = self.p
         q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
         a = q @ k.transpose(0, 2, 1)
@@ -102,7 +103,8 @@ class Attention:
         a += (p["place"][self.lag] + self.mask)[None]
         a += np.where(real, np.float32(0), np.float32(-1e9))[:, None, :]
         a = _softmax(a)
-        z = np.concatenate([x, a @ v], 2)
+        c = a @ v
+        z = np.concatenate([x, c], 2) if only is None else np.concatenate([x[only], c[only]], 1)
         h = np.maximum(z @ p["f1"] + p["b1"], 0)
         logits = h @ p["out"] + p["bo"]
         return (logits, (q, k, v, a, z, h)) if keep else logits
@@ -221,7 +223,7 @@ class Scorer:
             size = np.array([len(i) for i in ids])
             starts = np.concatenate([[0], np.cumsum(size)[:-1]])
             z = slice(self.n, self.n + len(part))
-            self.vec[z] = np.add.reduceat(self.net.p["emb"][np.concatenate(ids)], starts, 0) / size[:, None]
+            self.vec[z] = np.add.reduceat(self.net.p["emb"][np.fromiter(chain.from_iterable(ids), np.int64, size.sum())], starts, 0) / size[:, None]
             self.cls[z] = [self.sub.class_of(w, i) for w, i in zip(part, ids, strict=True)]
             self.number.update(zip(part, range(self.n, self.n + len(part)), strict=True))
             self.n += len(part)
@@ -248,18 +250,30 @@ class Scorer:
             got = np.zeros(len(inputs))
             for a in range(0, len(place), 256):
                 s, r = scored[a : a + 256], real[a : a + 256]
-                logits = self.net.forward(self.vec[inputs[place[a : a + 256]]], r)
-                logits -= logits.max(-1, keepdims=True)
+                lg = self.net.forward(self.vec[inputs[place[a : a + 256]]], r, only=s)
+                lg -= lg.max(-1, keepdims=True)
                 own = place[a : a + 256][s]
-                lg = logits[s]
                 c = self.cls[target[own]]
-                got[own] = lg[np.arange(len(c)), c] - np.log(np.exp(lg).sum(-1)) - (self.log_share[c] if self.log_share is not None else 0)
+                chosen = lg[np.arange(len(c)), c]
+                got[own] = chosen - np.log(np.exp(lg, out=lg).sum(-1)) - (self.log_share[c] if self.log_share is not None else 0)
             ends = np.cumsum([0, *(len(g) + 1 for g in group)])
             out[at:z] = np.add.reduceat(got, ends[:-1])
             at = z
         return out
 
 
+_LAST: dict[tuple[str, int, int], Scorer] = {}
+
+
+def _scorer(path: str, state: bytes) -> Scorer:
+    """The scorer of a model, held by a worker from one task to the next with the words it has met (bounded by REMEMBERED)."""
+    key = path, len(state), hash(state)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Scorer(path, pickle.loads(state))
+    return _LAST[key]
+
+
 def fit(texts: list[str | None], path: str) -> dict:
     """Classes and weights of the model from a bounded sample of texts."""
     docs, n = [], 0
@@ -396,7 +410,7 @@ def lm_scores(df: DataFrame, tokenizer: str, held_out) -> DataFrame:
 
     # 4. the model's part, text by text
     def modelled(batches):
-        scorer = Scorer(tokenizer, pickle.loads(whole.value))
+        scorer = _scorer(tokenizer, whole.value)
         for _, others, texts in blocks(batches):
             gain = scorer.score([words(t) for t in texts])
             yield pa.RecordBatch.from_pydict({"m_id": pa.array([r["doc_id"] for r in others], kind_of_id), "m_key": pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), "gain": pa.array(gain / LOG10, pa.float64())})
