@@ -239,6 +239,28 @@ def test_lm_scores(docs, none):
     assert lm_scores.lm_scores(none.select("doc_id", "text"), path, held).count() == 0
 
 
+def test_lm_scores_learns_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_scores, "SAMPLE_DOCS", 1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = {k: " ".join(f"{'abcdefgh'[(i * i + k) % 8]}{k}" for i in range(90)) for k in range(5)}
+
+    def held_out_score(texts):
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(2, "doc_id")
+        (r,) = lm_scores.lm_scores(df, path, F.col("doc_id") == 4).where("held_out").collect()
+        return r.base_score, r.score
+
+    train = spark.createDataFrame([(k, text[k]) for k in range(4)], "doc_id long, text string")
+    (first,) = lm_scores.sample(train)
+    base, score = held_out_score(text)
+    beyond = [k for k in range(4) if text[k] != first]
+    for k in (beyond[0], beyond[-1]):  # the same counts in another order
+        other = held_out_score(text | {k: " ".join(sorted(text[k].split()))})
+        assert other[0] == base and other[1] != score
+    counted = spark.createDataFrame([*text.items(), (None, text[0])], "doc_id long, text string")
+    learnt = lm_scores.learn_all(counted, path, lm_scores.fit([], path, {}))["learnt"]
+    assert learnt == 6 * 91
+
+
 def test_windows_score_each_place_once():
     for n in (1, 2, 31, 32, 33, 100, 1000):
         seen = Counter(p for a, z, d in lm_scores.windows(n) for p in range(d, z))

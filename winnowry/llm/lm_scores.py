@@ -5,9 +5,12 @@ buckets of packed bags (``blocks``).  That gives every text its unigram score.
 
 The model then predicts, at each word, the class of the next one.  A word is the
 bag of its subword ids (byte-level BPE, a public vocabulary); its class is given
-by the first of them.  One head of masked self-attention over learned relative
-places and a feed-forward layer are trained in numpy on a bounded sample of
-training texts.  A word's probability is P(class | words before) x P(word | class), the second factor from the
+by the first of them, with classes chosen from the counts over all training
+texts.  One head of masked self-attention over learned relative places and a
+feed-forward layer are trained in numpy.  First weights come from a few texts;
+then every training text is learnt from once and whole (``learn_all``): in each
+of ``ROUNDS`` rounds the partitions learn from the round's texts side by side,
+and their weights are averaged.  A word's probability is P(class | words before) x P(word | class), the second factor from the
 counts over all training texts, so the whole is a distribution over known words
 and one unknown word of each class.  Long texts are cut into overlapping windows: each scores
 its last ``STRIDE`` places only, with the places before as context, so every
@@ -29,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +43,15 @@ CLASSES = 128
 DIM = 24
 WINDOW = 32
 STRIDE = 24
-#: Most words of training texts that the model is fitted on.
+N_IDS = 50_257
+#: Texts for the first weights: no more are taken once they hold so many words.
 SAMPLE_WORDS = 250_000
 SAMPLE_DOCS = 2_000
+#: Passes over disjoint parts of the training texts, and windows of a batch in them.
+ROUNDS = 2
+BATCH = 64
+#: Rows of the embedding that are averaged together.
+ROWS = 512
 REMEMBERED = 600_000
 END = b" "  # the end token; no word holds a space
 LOG10 = float(np.log(10))
@@ -73,6 +83,31 @@ class Subwords:
         return self.classes.get(ids[0], 1 + len(self.classes) + ids[0] % (CLASSES - 1 - len(self.classes)))
 
 
+class Bags:
+    """Numbers of words, with their subword ids and classes; word 0 is the start. Remembered up to a bound."""
+
+    def __init__(self, sub: Subwords):
+        self.sub = sub
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids, self.starts, self.cls = np.zeros(1, np.int64), np.array([0, 1]), np.zeros(1, np.int64)
+
+    def numbers(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+        if len(self.number) > REMEMBERED // 4:
+            self.reset()
+        new = sorted({w for d in docs for w in d} - self.number.keys())
+        if new:
+            ids = self.sub.ids(new)
+            size = np.array([len(i) for i in ids])
+            self.number.update(zip(new, range(len(self.cls), len(self.cls) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int64, size.sum())])
+            self.cls = np.concatenate([self.cls, [self.sub.class_of(w, i) for w, i in zip(new, ids, strict=True)]])
+        return [np.fromiter(map(self.number.__getitem__, d), np.int64, len(d)) for d in docs]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(-1, keepdims=True)
     np.exp(x, out=x)
@@ -83,7 +118,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 class Attention:
     """Predicts the class at each place from the inputs before it."""
 
-    def __init__(self, seed: int = 5, n_ids: int = 50_257):
+    def __init__(self, seed: int = 5, n_ids: int = N_IDS):
         r = np.random.default_rng(seed)
         n = lambda *s, k=1.0: (r.standard_normal(s) * k).astype(np.float32)
         self.p = {
@@ -109,68 +144,94 @@ class Attention:
         logits = h @ p["out"] + p["bo"]
         return (logits, (q, k, v, a, z, h)) if keep else logits
 
-    def fit(self, bags: tuple[np.ndarray, np.ndarray], wins: np.ndarray, target: np.ndarray, real: np.ndarray, scored: np.ndarray, epochs: int = 4, rate: float = 3e-3, seed: int = 1) -> None:
-        """bags: (ids, starts) of the sample's words, word 0 being the start; wins: their numbers by window."""
-        ids, starts = bags
-        size = np.diff(np.append(starts, len(ids)))
-        p, rng, step = self.p, np.random.default_rng(seed), 0
-        mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-
-        def adam(key, grad, rows=slice(None)):
-            m, s = mom[key]
-            m[rows] = 0.9 * m[rows] + 0.1 * grad
-            s[rows] = 0.98 * s[rows] + 0.02 * grad * grad
-            p[key][rows] -= lr * (m[rows] / (1 - 0.9**step)) / (np.sqrt(s[rows] / (1 - 0.98**step)) + 1e-7)
-
-        for e in range(epochs):
-            order = rng.permutation(len(wins))
-            lr = rate * (1 - 0.8 * e / max(1, epochs - 1))
-            for at in range(0, len(order), 32):
-                step += 1
-                b = order[at : at + 32]
-                used, local = np.unique(wins[b], return_inverse=True)
-                local = local.reshape(wins[b].shape)
-                own = np.concatenate([np.arange(starts[w], starts[w] + size[w]) for w in used])
-                seg = np.concatenate([[0], np.cumsum(size[used])[:-1]]).astype(int)
-                n = np.maximum(size[used], 1)[:, None].astype(np.float32)
-                vec = np.add.reduceat(p["emb"][ids[own]], seg, 0) / n
-                first = used == 0
-                vec[first] = p["start"]
-                x = vec[local]
-                logits, (q, k, v, a, z, h) = self.forward(x, real[b], keep=True)
-                pr = _softmax(logits)
-                w = scored[b].astype(np.float32)
-                g = pr
-                np.put_along_axis(g, target[b][..., None], np.take_along_axis(g, target[b][..., None], 2) - 1, 2)
-                g *= (w / max(1.0, w.sum()))[..., None]
-                flat = lambda t: t.reshape(-1, t.shape[-1])
-                gh = (g @ p["out"].T) * (h > 0)
-                gz = gh @ p["f1"].T
-                gx, gc = gz[..., :DIM].copy(), gz[..., DIM:]
-                ga = gc @ v.transpose(0, 2, 1)
-                gv = a.transpose(0, 2, 1) @ gc
-                gs = a * (ga - (ga * a).sum(-1, keepdims=True))
-                gp = np.bincount(self.lag.ravel(), weights=(gs.sum(0) * (self.mask == 0)).ravel(), minlength=WINDOW).astype(np.float32)
-                gs = gs * DIM**-0.5
-                gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-                gx += gq @ p["q"].T + gk @ p["k"].T + gv @ p["v"].T
-                ge = np.zeros((len(used), DIM), np.float32)
-                np.add.at(ge, local.ravel(), flat(gx))
-                adam("out", flat(h).T @ flat(g))
-                adam("bo", flat(g).sum(0))
-                adam("f1", flat(z).T @ flat(gh))
-                adam("b1", flat(gh).sum(0))
-                for name, t in (("q", gq), ("k", gk), ("v", gv)):
-                    adam(name, flat(x).T @ flat(t))
-                adam("place", gp)
-                if first.any():
-                    adam("start", ge[first][0])
-                each = np.repeat(ge / n, size[used], axis=0)[np.repeat(~first, size[used])]
-                tok = ids[own][np.repeat(~first, size[used])]
-                rows, inv = np.unique(tok, return_inverse=True)
-                summed = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(summed, inv, each)
-                adam("emb", summed, rows)
+    def gradients(self, x: np.ndarray, real: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean loss over the scored places: by weight, and by input."""
+        p = self.p
+        pr, (q, k, v, a, z, h) = self.forward(x, real, keep=True, only=scored)
+        _softmax(pr)
+        pr[np.arange(len(pr)), target[scored]] -= 1
+        pr *= np.float32(1 / max(1, len(pr)))
+        gh = (pr @ p["out"].T) * (h > 0)
+        gz = gh @ p["f1"].T
+        gx, gc = np.zeros_like(x), np.zeros_like(x)
+        gx[scored], gc[scored] = gz[:, :DIM], gz[:, DIM:]
+        ga = gc @ v.transpose(0, 2, 1)
+        gv = a.transpose(0, 2, 1) @ gc
+        gs = a * (ga - (ga * a).sum(-1, keepdims=True))
+        gp = np.bincount(self.lag.ravel(), weights=(gs.sum(0) * (self.mask == 0)).ravel(), minlength=WINDOW).astype(np.float32)
+        gs *= np.float32(DIM**-0.5)
+        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
+        gx += gq @ p["q"].T + gk @ p["k"].T + gv @ p["v"].T
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        out = {"out": h.T @ pr, "bo": pr.sum(0), "f1": z.T @ gh, "b1": gh.sum(0), "place": gp}
+        return out | {n: flat(x).T @ flat(t) for n, t in (("q", gq), ("k", gk), ("v", gv))}, gx
+
+
+def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values added up by their places at (all of 0..n-1 occur)."""
+    order = np.argsort(at, kind="stable")
+    return np.add.reduceat(values[order], np.searchsorted(at[order], np.arange(n)), 0)
+
+
+class Trainer:
+    """Adam steps over batches of windows; squares of earlier gradients may be given."""
+
+    def __init__(self, net: Attention, squares: dict[str, np.ndarray] | None = None, step: int = 0):
+        self.net, self.step, self.words = net, step, 0
+        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.s = squares or {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.warm = step  # the first moments begin anew
+        self.uses = np.zeros(len(net.p["emb"]), np.int64)
+
+    def adam(self, key: str, grad: np.ndarray, rate: float, rows=slice(None)) -> None:
+        m, s = self.m[key], self.s[key]
+        m[rows] = 0.9 * m[rows] + 0.1 * grad
+        s[rows] = 0.98 * s[rows] + 0.02 * grad * grad
+        self.net.p[key][rows] -= rate * (m[rows] / (1 - 0.9 ** (self.step - self.warm))) / (np.sqrt(s[rows] / (1 - 0.98**self.step)) + 1e-7)
+
+    def batch(self, ids: np.ndarray, starts: np.ndarray, wins: np.ndarray, target: np.ndarray, real: np.ndarray, scored: np.ndarray, rate: float) -> None:
+        """ids, starts: the bags of the numbered words, word 0 being the start; wins: their numbers by window."""
+        self.step += 1
+        self.words += int(scored.sum())
+        p = self.net.p
+        used, local = np.unique(wins, return_inverse=True)
+        local = local.reshape(wins.shape)
+        n = starts[used + 1] - starts[used]
+        seg = np.cumsum(n) - n
+        own = ids[np.repeat(starts[used] - seg, n) + np.arange(n.sum())]
+        vec = np.add.reduceat(p["emb"][own], seg, 0) / n[:, None].astype(np.float32)
+        first = used == 0
+        vec[first] = p["start"]
+        by, gx = self.net.gradients(vec[local], real, target, scored)
+        for key, grad in by.items():
+            self.adam(key, grad, rate)
+        ge = _sums(gx.reshape(-1, DIM), local.ravel(), len(used))
+        if first.any():
+            self.adam("start", ge[first][0], rate)
+        true = np.repeat(~first, n)
+        if true.any():
+            rows, inv, count = np.unique(own[true], return_inverse=True, return_counts=True)
+            self.adam("emb", _sums(np.repeat(ge / n[:, None].astype(np.float32), n, axis=0)[true], inv, len(rows)), rate, rows)
+            self.uses[rows] += count
+
+    def texts(self, known: Bags, docs: list[list[bytes]], rate: float, rng: np.random.Generator, size: int) -> None:
+        """One pass over whole texts, in batches of ``size`` windows."""
+        at = 0
+        num = known.numbers(docs)
+        while at < len(num):  # bounded memory: about 60,000 places at a time
+            z, n = at + 1, len(num[at])
+            while z < len(num) and n + len(num[z]) < 60_000:
+                n += len(num[z])
+                z += 1
+            group = num[at:z]
+            inputs = np.concatenate([np.concatenate([[0], g]) for g in group])
+            target = known.cls[np.concatenate([np.concatenate([g, [0]]) for g in group])]
+            place, real, scored = _grid([len(g) for g in group])
+            order = rng.permutation(len(place))
+            for a in range(0, len(order), size):
+                b = order[a : a + size]
+                self.batch(known.ids, known.starts, inputs[place[b]], target[place[b]], real[b], scored[b], rate)
+            at = z
 
 
 def windows(n: int) -> list[tuple[int, int, int]]:
@@ -274,42 +335,94 @@ def _scorer(path: str, state: bytes) -> Scorer:
     return _LAST[key]
 
 
-def fit(texts: list[str | None], path: str) -> dict:
-    """Classes and weights of the model from a bounded sample of texts."""
+def commonest(uses: np.ndarray) -> dict[int, int]:
+    """Classes of the first subword ids that words use most."""
+    top = [i for i in np.lexsort((np.arange(len(uses)), -uses))[: CLASSES - 1 - 16].tolist() if uses[i]]
+    return {i: 1 + k for k, i in enumerate(top)}
+
+
+def fit(texts: list[str | None], path: str, classes: dict[int, int], epochs: int = 4, rate: float = 3e-3) -> dict:
+    """First weights, from some whole texts; ``learn_all`` goes on from there."""
     docs, n = [], 0
     for t in texts:
-        w = words(t)[: max(0, SAMPLE_WORDS - n)]
-        if not w:
+        if n >= SAMPLE_WORDS:
             break
-        docs.append(w)
-        n += len(w)
-    sub = Subwords(path)
-    vocab = sorted({w for d in docs for w in d} - {END})
-    ids = dict(zip(vocab, sub.ids(vocab) if vocab else [], strict=True))
-    ids[END] = [50_256]
-    first: dict[int, int] = {}
-    for d in docs:
-        for w in d[:-1] if d[-1] == END else d:
-            first[ids[w][0]] = first.get(ids[w][0], 0) + 1
-    top = sorted(first, key=lambda i: (-first[i], i))[: CLASSES - 1 - 16]
-    sub.classes = {i: 1 + k for k, i in enumerate(top)}
-    net = Attention()
-    if docs:
-        listed = [END, *vocab]
-        number = {w: k + 1 for k, w in enumerate(listed)}
-        flat = np.concatenate([[0], *(ids[w] for w in listed)]).astype(np.int64)
-        starts = np.concatenate([[0, 1], 1 + np.cumsum([len(ids[w]) for w in listed])[:-1]]).astype(np.int64)
-        cls = np.array([0, *(sub.class_of(w, ids[w]) for w in listed)])
-        num = [np.array([number[w] for w in d]) for d in docs]
-        inputs = np.concatenate([np.concatenate([[0], g]) for g in num])
-        target = cls[np.concatenate([np.concatenate([g, [0]]) for g in num])]
-        place, real, scored = _grid([len(g) for g in num])
-        net.fit((flat, starts), inputs[place], target[place], real, scored)
-    return {"classes": sub.classes, "p": net.p}
+        docs.append(words(t))
+        n += len(docs[-1])
+    net, known, rng = Attention(), Bags(Subwords(path, classes)), np.random.default_rng(1)
+    trainer = Trainer(net)
+    for e in range(epochs if docs else 0):
+        trainer.texts(known, docs, rate * (1 - 0.8 * e / max(1, epochs - 1)), rng, 32)
+    return {"classes": classes, "p": net.p, "squares": trainer.s, "step": trainer.step}
+
+
+def learn_all(docs: DataFrame, path: str, state: dict, rate: float = 3e-3) -> dict:
+    """Weights after one pass over all texts, each whole and in one of the rounds.
+
+    Partitions begin a round with the same weights.  What they end it with is
+    averaged in chunks, dense weights by words and rows of the embedding by uses,
+    so rows that few partitions met are theirs.  Batches follow the partitions,
+    so the last digits of the weights depend on how the input is cut.
+    """
+    spark = docs.sparkSession
+    for r in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(pickle.dumps(state))  # of fixed size
+        now = rate * (1 - 0.8 * r / max(1, ROUNDS - 1))
+
+        def learn(batches, shared=shared, now=now):
+            own = pickle.loads(shared.value)
+            net, known = Attention(), Bags(Subwords(path, own["classes"]))
+            net.p = own["p"]
+            trainer = Trainer(net, own["squares"], own["step"])
+            for name, _, texts in blocks(batches):
+                trainer.texts(known, [words(t) for t in texts], now, np.random.default_rng(zlib.crc32(name.encode())), BATCH)
+            if not trainer.words:
+                return
+            part, rows = TaskContext.get().partitionId(), [(-1, {k: v for k, v in net.p.items() if k != "emb"}, trainer.words)]
+            for at in range(0, N_IDS, ROWS):
+                met = at + np.flatnonzero(trainer.uses[at : at + ROWS])
+                if len(met):
+                    rows.append((at // ROWS, (met, net.p["emb"][met]), trainer.uses[met]))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([x[0] for x in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "payload": pa.array([pickle.dumps(x[1:], protocol=5) for x in rows], pa.binary())})
+
+        def averaged(t: pa.Table) -> pa.Table:
+            chunk = t.column("chunk")[0].as_py()
+            total = weight = None
+            for _, payload in sorted(zip(t.column("part").to_pylist(), t.column("payload").to_pylist(), strict=True)):
+                value, n = pickle.loads(payload)
+                if chunk < 0:
+                    total = {k: n * v.astype(float) + (total[k] if total else 0) for k, v in value.items()}
+                    weight = n + (weight or 0)
+                else:
+                    if total is None:
+                        total, weight = np.zeros((ROWS, DIM)), np.zeros(ROWS)
+                    at = value[0] - chunk * ROWS
+                    total[at] += n[:, None] * value[1]
+                    weight[at] += n
+            if chunk < 0:
+                out = {k: (v / weight).astype(np.float32) for k, v in total.items()}, weight
+            else:
+                at = np.flatnonzero(weight)
+                out = chunk * ROWS + at, (total[at] / weight[at, None]).astype(np.float32)
+            return pa.table({"chunk": pa.array([chunk], pa.int32()), "payload": pa.array([pickle.dumps(out, protocol=5)], pa.binary())})
+
+        some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(ROUNDS)) == r).select("text")
+        met = some.mapInArrow(learn, "chunk int, part int, payload binary").groupBy("chunk").applyInArrow(averaged, "chunk int, payload binary")
+        p, learnt = dict(state["p"]), 0
+        p["emb"] = p["emb"].copy()
+        for chunk, payload in met.collect():  # of fixed size: the weights
+            a, b = pickle.loads(bytes(payload))
+            if chunk < 0:
+                p, learnt = p | a, b
+            else:
+                p["emb"][a] = b
+        state = state | {"p": p, "learnt": state.get("learnt", 0) + learnt}
+        shared.unpersist()
+    return state
 
 
 def sample(docs: DataFrame) -> list:
-    """Texts of the training rows with the least hashes of their ids (a bounded number)."""
+    """Texts of the training rows with the least hashes of their ids (a bounded number), for the first weights."""
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(SAMPLE_DOCS)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").collect()
     return [r[1] for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))]
@@ -319,9 +432,7 @@ def lm_scores(df: DataFrame, tokenizer: str, held_out) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows where ``held_out`` is false are learnt from."""
     docs = df.select("doc_id", "text", held_out.alias("held_out"))
     n_buckets = fan_out(df)
-    state = fit(sample(docs.where("not held_out")), tokenizer)
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(pickle.dumps(state))  # of fixed size
 
     # 1. words meet in buckets: exact counts, and each text's sum of log10(c + 0.5)
     def bags(batches):
@@ -352,37 +463,44 @@ def lm_scores(df: DataFrame, tokenizer: str, held_out) -> DataFrame:
             terms, sizes, docs_, counts, n = unpack(unpack(payload)[0])
             c = np.repeat(np.fromiter(map(count.__getitem__, terms), np.int64, len(terms)), sizes)
             out.append((bucket, block, 0, pack((np.bincount(docs_, weights=np.log10(c + 0.5) * counts, minlength=n), np.bincount(docs_, weights=counts * (c > 0), minlength=n).astype(np.int64)))))
-        # what the model needs of all words of this bucket: sums by class
-        sub = Subwords(tokenizer, pickle.loads(shared.value)["classes"])
-        mass, total, distinct = np.zeros(CLASSES), 0, 0
+        # what the model needs of all words of this bucket: sums by first subword id; the end token stands after the ids
+        sub = Subwords(tokenizer)
+        uses, kinds = np.zeros(N_IDS + 1, np.int64), np.zeros(N_IDS + 1, np.int64)
         known = [w for w, c in count.items() if c]
         for a in range(0, len(known), 20_000):
             part = known[a : a + 20_000]
             for w, i in zip(part, sub.ids(part), strict=True):
-                mass[sub.class_of(w, i)] += count[w] + 0.5
-        total, distinct = sum(count.values()), len(known)
-        out.append((rows[0][0], None, 2, pack((mass, total, distinct))))
+                at = N_IDS if w == END else i[0]
+                uses[at] += count[w]
+                kinds[at] += 1
+        out.append((rows[0][0], None, 2, pack((uses, kinds))))
         return pa.Table.from_batches(list(packed_batches(out)))
 
     met = materialise(docs.mapInArrow(bags, PACKED).groupBy("bucket").applyInArrow(counted, PACKED))
 
-    # 2. totals: one small row per bucket, added up in a tree
+    # 2. totals: one small row per bucket, added up in a tree; then the model
     def added(batches):
-        mass, total, distinct = np.zeros(CLASSES), 0, 0
+        uses, kinds = np.zeros(N_IDS + 1, np.int64), np.zeros(N_IDS + 1, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                m, t, d = unpack(x)
-                mass, total, distinct = mass + m, total + t, distinct + d
-        yield pa.RecordBatch.from_pydict({"payload": pa.array([pack((mass, total, distinct))], pa.binary())})
+                u, k = unpack(x)
+                uses, kinds = uses + u, kinds + k
+        yield pa.RecordBatch.from_pydict({"payload": pa.array([pack((uses, kinds))], pa.binary())})
 
-    mass, total, distinct = np.zeros(CLASSES), 0, 0
+    uses, kinds = np.zeros(N_IDS + 1, np.int64), np.zeros(N_IDS + 1, np.int64)
     for (x,) in met.where("kind = 2").select("payload").mapInArrow(added, "payload binary").toLocalIterator():
-        m, t, d = unpack(bytes(x))
-        mass, total, distinct = mass + m, total + t, distinct + d
+        u, k = unpack(bytes(x))
+        uses, kinds = uses + u, kinds + k
+    total, distinct = int(uses.sum()), int(kinds.sum())
+    train = docs.where("not held_out").select("doc_id", "text")
+    state = learn_all(train, tokenizer, fit(sample(train), tokenizer, commonest(uses[:N_IDS])))
+    sub = Subwords(tokenizer, state["classes"])
+    mass = np.bincount([sub.class_of(b"", [i]) for i in range(N_IDS)], weights=uses[:N_IDS] + 0.5 * kinds[:N_IDS], minlength=CLASSES)
+    mass[0] += uses[N_IDS] + 0.5 * kinds[N_IDS]
     bottom = total + 0.5 * (distinct + 1)
     # each class has an unknown word of its own, with the weight of half a use
     share = (mass + 0.5) / bottom
-    state["log_share"] = np.log(share)
+    state = {"classes": state["classes"], "p": state["p"], "log_share": np.log(share)}
     whole = spark.sparkContext.broadcast(pickle.dumps(state))
 
     # 3. texts' parts of the base score
