@@ -11,10 +11,10 @@ from winnowry.llm.common import fold, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.7; learnt from labels outside the held-out third."""
+    """Documents with a toxicity score under their language's calibrated threshold (0.7 for languages without one); learnt from labels outside the held-out third."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
     model = toxicity.train(*toxicity.training_rows(docs, labels))
-    return toxicity.toxicity(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.toxicity(docs, model).where("flagged = 0").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -225,6 +226,15 @@ def test_toxicity(spark, docs, none):
     assert all(g.score < 0.01 for g in toxicity.toxicity(docs, blank).collect())
 
 
+def test_pipeline_drops_by_the_threshold_of_the_language(spark, docs, monkeypatch, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.train([], [], [])
+    model.ob, model.thresholds = np.float32(np.log(0.6 / 0.4)), {"de": 0.55, "en": 0.65}  # every score is 0.6
+    monkeypatch.setattr(toxicity, "train", lambda *rows: model)
+    got = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert rows_of(got.select("doc_id", "lang")) == rows_of(docs.where("lang is null or lang <> 'de'").select("doc_id", "lang"))
+
+
 def test_lm_scores(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     held = F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False))
