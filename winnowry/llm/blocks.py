@@ -13,6 +13,8 @@ order when a task is run again: a scan or a sorted frame, not a bare shuffle.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -34,7 +36,14 @@ def unpack(x: bytes):
     return pickle.loads(zlib.decompress(x))
 
 
-def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[dict], list[str]]]:
+def release() -> None:
+    """Hand freed memory back to the system, so that workers kept for later tasks stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[tuple[str, list[dict], list[str]]]:
     """Documents in blocks of bounded text: (name, other columns, texts)."""
     part, n = TaskContext.get().partitionId(), 0
     rows: list[dict] = []
@@ -48,7 +57,7 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[dict],
                 rows.append(row)
                 texts.append(text or "")
                 held += len(texts[-1]) + 100
-                if held >= BLOCK_BYTES or len(texts) >= BLOCK_DOCS:
+                if held >= size or len(texts) >= BLOCK_DOCS:
                     yield f"{part}-{n}", rows, texts
                     rows, texts, held, n = [], [], 0, n + 1
     if texts:

@@ -19,18 +19,22 @@ import functools
 import hashlib
 import json
 import os
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import blocks, release
 from .common import table
 
 #: Characters that normalization leaves alone but for lower case, with the same class in every Unicode version.
 STABLE = r"[\t\n\r\x20-\x7e¡-¬®-įı-ƿ‐-‧‰-⁞€]*+"
-REMEMBERED = 1_000_000
+#: Most words, runs between white space and pairs of tokens a worker remembers of each; beyond it that memory starts anew, which only repeats work.
+REMEMBERED = 200_000
+#: Bytes of text worked on at once; nothing is shuffled, so small blocks cost nothing.
+BLOCK = 2 << 20
 INF = 1 << 60
 
 
@@ -40,9 +44,17 @@ class TrieEncoder:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
         self.vocab, self.end = vocab, end
         self.rank = {tuple(m): k for k, m in enumerate(merges)}
-        self.longest = max((len(t) for t in vocab), default=1)
+        #: by the last three symbols of a token: the lengths that longer tokens with that end have, falling
+        ends: dict[str, set] = {}
+        for t in vocab:
+            body = t[: -len(end)] if end and t.endswith(end) else t
+            if len(body) > 2:
+                ends.setdefault(body[-3:] + t[len(body) :], set()).add(len(body))
+        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
         self.text = {i: t for t, i in vocab.items()}
         self.fits: dict[tuple[str, str], bool] = {}
+        #: whether merging a token's symbols gives the token (2: not asked yet)
+        self.reachable = dict.fromkeys(vocab, 2)
         self.spines: dict[str, tuple | None] = {}
 
     def symbols(self, token: str) -> list[str]:
@@ -68,11 +80,6 @@ class TrieEncoder:
 
     def stand(self, s: str, t: str) -> bool:
         """True if the merges of s followed by t never cross their border."""
-        key = s, t
-        if (known := self.fits.get(key)) is not None:
-            return known
-        if len(self.fits) > 4 * REMEMBERED:
-            self.fits.clear()
         left, right = self.spine(s)[1], self.spine(t)[0]
         i = j = 0
         while True:
@@ -80,10 +87,8 @@ class TrieEncoder:
             ahead_r = right[j + 1][1] if j + 1 < len(right) else INF
             across = self.rank.get((left[i][0], right[j][0]), INF)
             if across < ahead_l and across <= ahead_r and across < INF:
-                self.fits[key] = False
                 return False
             if ahead_l == INF and ahead_r == INF:
-                self.fits[key] = True
                 return True
             if ahead_l <= ahead_r:
                 i += 1
@@ -92,34 +97,55 @@ class TrieEncoder:
 
     def _last(self, word: str, d: int, closing: str, stack: list) -> tuple[str, int]:
         """The last token of word[:d] + closing, and its length in symbols."""
-        for length in range(min(d, self.longest), 0, -1):
-            t = word[d - length : d] + closing
-            if t in self.vocab and self.spine(t) is not None and (d == length or self.stand(stack[d - length][0], t)):
+        reachable, fits = self.reachable, self.fits
+        if closing:
+            word = word[:d] + closing
+            d, shift = len(word), len(closing)
+        else:
+            shift = 0
+        inner = d - shift
+        for length in self.lengths.get(word[inner - 3 : d], (2, 1)) if inner > 2 else range(inner, 0, -1):
+            if length > inner:
+                continue
+            t = word[inner - length : d]
+            if (known := reachable.get(t)) is None:
+                continue
+            if known == 2:
+                reachable[t] = known = int(self.spine(t) is not None)
+            if not known:
+                continue
+            if inner == length:
+                return t, length
+            key = stack[inner - length][0], t
+            if (stands := fits.get(key)) is None:
+                stands = fits[key] = self.stand(*key)
+            if stands:
                 return t, length
         raise ValueError(f"no token ends {word[:d]!r}")
 
-    def encode(self, words: list[str]) -> dict[str, list[str]]:
-        """Tokens of each of the distinct words."""
-        out: dict[str, list[str]] = {}
+    def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each of the distinct words with its tokens."""
+        if len(self.fits) > REMEMBERED:
+            self.fits.clear()
         stack: list[tuple[str, int]] = [("", 0)]
-        before = ""
+        before, end = "", self.end
         for word in sorted(words):
-            inner = len(word) - 1 if self.end else len(word)  # the last symbol of a word is a leaf of its own
+            inner = len(word) - 1 if end else len(word)  # the last symbol of a word is a leaf of its own
             shared, most = 0, min(len(before), inner, len(stack) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del stack[shared + 1 :]
             for d in range(shared + 1, inner + 1):
                 stack.append(self._last(word, d, "", stack))
-            at = self._last(word, len(word), self.end, stack) if self.end else stack[len(word)]
+            at = self._last(word, len(word), end, stack) if end else stack[len(word)]
             tokens, d = [], len(word)
             while d > 0:
                 tokens.append(at[0])
                 d -= at[1]
                 at = stack[d]
-            out[word] = tokens[::-1]
+            tokens.reverse()
+            yield word, tokens
             before = word
-        return out
 
 
 @functools.lru_cache(2)
@@ -157,66 +183,106 @@ def words_of(path: str, text: str) -> list[str]:
     return out
 
 
+def runs_of(path: str, text: str) -> list:
+    """The text in parts that are encoded each by itself: no word holds white space, so runs between white space will do; odd texts come as their words."""
+    stable = _setup(path)[5]
+    if "<|" not in text and stable.fullmatch(text):
+        return text.lower().split()
+    return words_of(path, text)
+
+
 class Coder:
-    """Encodings of words seen so far, as (number of ids, ids in decimals, tokens), both joined by spaces."""
+    """Encodings seen so far, of words and of runs of words: ids in decimals and tokens, each joined by spaces, in bytes."""
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path = path
+        self.number = {t: b"%d" % i for t, i in _setup(path)[1].vocab.items()}
+        self.forget()
 
-    def learn(self, words: set) -> None:
+    def forget(self) -> None:
+        self.ids: dict = {}
+        self.tokens: dict = {}
+
+    def _encode(self, words: set) -> None:
         _, encoder, special, _, _, _, shown = _setup(self.path)
-        new = words - self.known.keys()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            new = words
-        as_shown = {w: w[1] if isinstance(w, tuple) else w if w.isascii() else "".join(shown[b] for b in w.encode()) for w in new}
-        tokens = encoder.encode(list({s for w, s in as_shown.items() if not (isinstance(w, tuple) and w[0] == "special")}))
-        for w, s in as_shown.items():
-            if isinstance(w, tuple) and w[0] == "special":
-                self.known[w] = 1, str(special[s]), s
+        as_shown: dict = {}  # the words by the characters that stand for their bytes
+        for w in words:
+            if not isinstance(w, tuple):
+                as_shown.setdefault(w if w.isascii() else "".join([shown[b] for b in w.encode()]), []).append(w)
+            elif w[0] == "special":
+                self.ids[w], self.tokens[w] = b"%d" % special[w[1]], w[1].encode()
             else:
-                own = tokens[s]
-                self.known[w] = len(own), " ".join(str(encoder.vocab[x]) for x in own), " ".join(own)
-
-    def code(self, texts: list[str]):
+                as_shown.setdefault(w[1], []).append(w)
+        number = self.number
+        for s, own in encoder.encode(as_shown):
+            ids, tokens = b" ".join([number[x] for x in own]), " ".join(own).encode()
+            for w in as_shown[s]:
+                self.ids[w], self.tokens[w] = ids, tokens
+
+    def learn(self, runs: set) -> None:
+        new = runs - self.ids.keys()
+        if len(self.ids) + len(new) > 2 * REMEMBERED:
+            self.forget()
+            new = runs
+        pattern = _setup(self.path)[4]
+        words, parts = set(), {}
+        for r in new:
+            if isinstance(r, tuple) or r.isalpha():
+                words.add(r)
+            else:
+                parts[r] = own = pattern.findall(r)
+                words.update(own)
+        ids, tokens = self.ids, self.tokens
+        self._encode(words - ids.keys())
+        for r, own in parts.items():
+            if len(own) > 1:
+                ids[r], tokens[r] = b" ".join([ids[w] for w in own]), b" ".join([tokens[w] for w in own])
+
+    def code(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, the ids, the decoded text) of each text."""
-        cut = [words_of(self.path, t) for t in texts]
+        cut = [runs_of(self.path, t) for t in texts]
         self.learn(set().union(*cut))
-        known = self.known
-        for words in cut:
-            own = [known[w] for w in words]
-            yield sum(x[0] for x in own), " ".join([x[1] for x in own]), " ".join([x[2] for x in own])
+        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
+        for runs in cut:
+            own = b" ".join(map(ids, runs))
+            yield own.count(b" ") + 1 if runs else 0, own, b" ".join(map(tokens, runs))
 
 
 def bpe(df: DataFrame, tokenizer: str, text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Adds n_tokens, ids (array<int>) and decoded to the rows, or with ``digests`` n_tokens and the SHA-256 of the ids (in decimals, one space between) and of the decoded text.
+    """Adds n_tokens, ids (array<int>) and decoded to the other columns, or with ``digests`` n_tokens and the SHA-256 of the ids (in decimals, one space between) and of the decoded text.
 
-    Works chunk by chunk inside each partition: nothing is shuffled, and memory
-    is bounded by the chunk and by REMEMBERED words.
+    Columns of the input with these names give way to the result, and the text
+    is not returned.  Works block by block inside each partition: nothing is
+    shuffled, and memory is bounded by the block and by REMEMBERED.
     """
-    others = [c for c in df.columns if c != text_col and c not in ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")]
-    src = df.select(*[F.col(f"`{c}`") for c in others], F.col(text_col).alias("text"))
-    fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in others)
-    schema = fields + (", " if others else "") + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string")
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [(c, to_arrow_type(src.schema[c].dataType)) for c in others]
+    added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
+    others = [f for f in df.schema if f.name not in (text_col, *added)]
+    kinds = [(f"c{k}", to_arrow_type(f.dataType)) for k, f in enumerate(others)]
+    src = df.select(*[F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(others)], F.col(f"`{text_col}`").alias("text"))
+    schema = ", ".join([f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(others)] + ["n_tokens long", *("ids_sha256 string", "decoded_sha256 string")] if digests else [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(others)] + ["n_tokens long", "ids array<int>", "decoded string"])
 
     def run(batches):
         coder = Coder(tokenizer)
-        for _, rows, texts in blocks(batches):
-            got = list(coder.code(texts))
+        for _, rows, texts in blocks(batches, BLOCK):
             cols = {c: pa.array([r[c] for r in rows], k) for c, k in kinds}
-            cols["n_tokens"] = pa.array([g[0] for g in got], pa.int64())
-            if digests:
-                cols["ids_sha256"] = pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got])
-                cols["decoded_sha256"] = pa.array([hashlib.sha256(g[2].encode()).hexdigest() for g in got])
-            else:
-                cols["ids"] = pa.array([[int(i) for i in g[1].split()] for g in got], pa.list_(pa.int32()))
-                cols["decoded"] = pa.array([g[2] for g in got])
+            sizes, first, second = [], [], []
+            for n, ids, decoded in coder.code(texts):
+                sizes.append(n)
+                first.append(hashlib.sha256(ids).hexdigest() if digests else [int(i) for i in ids.split()])
+                second.append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode())
+            cols["n_tokens"] = pa.array(sizes, pa.int64())
+            cols[added[1]] = pa.array(first, pa.string() if digests else pa.list_(pa.int32()))
+            cols[added[2]] = pa.array(second, pa.string())
             yield pa.RecordBatch.from_pydict(cols)
+        # a worker kept for other tasks gives all of it back
+        coder.forget()
+        _setup.cache_clear()
+        release()
 
-    return src.mapInArrow(run, schema)
+    out = src.mapInArrow(run, schema)
+    return out.select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(others)], *added)
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:

@@ -44,19 +44,33 @@ def materialise(df: DataFrame, **renamed) -> DataFrame:
     frame, and are columnar, unlike a reliable RDD checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/winnowry/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/winnowry/{spark.sparkContext.applicationId}/{name}"
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # small row groups: less of the writers' memory
+    _MADE.add(name)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: set[str] = set()
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised frame nothing will read any more."""
+    """Delete the files of a materialised frame nothing will read any more; files that ``materialise`` did not write stay."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/winnowry/" in f:
+        if (name := f.rpartition("/")[2]) in _MADE:
             path = jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _MADE.discard(name)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def input_bytes(df: DataFrame) -> int:
