@@ -11,22 +11,24 @@ threshold only and is no input of the score.
 Training uses a bounded sample of labelled rows (``sample``); scoring is a map
 over partitions with whole texts.
 
-Defined results: null and empty texts get the score of a text without words;
-rows are kept one for one; labels of absent documents and null labels are
+Defined results: null and empty texts get the score of a text without words and
+stay as they are; rows are kept one for one; other columns are returned unread; labels of absent documents and null labels are
 ignored; without labels of both kinds every score is the base rate (0 if there
 are no labels).
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import release
 from .common import fold, table
 
 BUCKETS = 1 << 17
@@ -35,15 +37,19 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Most labelled rows that training and calibration use.
 SAMPLE = 6000
+#: Most words a task remembers the buckets of.
+REMEMBERED = 200_000
+#: Places scored at once.
+PLACES = 60_000
 PAD = BUCKETS  # a row of zeros
 _TRIM = b".,;:!?\"'()[]{}*#%&$|<>=+-_/\\"
 
 
 class Buckets(dict):
-    """Hash bucket of each word; beyond a million words it starts anew."""
+    """Hash bucket of each word; beyond REMEMBERED words it starts anew."""
 
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         low = word.decode("utf-8", "replace").lower().encode("utf-8", "replace").strip(_TRIM)
         self[word] = b = zlib.crc32(low or word) % BUCKETS
@@ -115,9 +121,9 @@ class TextCNN:
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         out = np.empty(len(docs))
         at = 0
-        while at < len(docs):  # bounded memory: about 200,000 places at a time
+        while at < len(docs):  # bounded memory: about PLACES places at a time
             z, n = at + 1, len(docs[at])
-            while z < len(docs) and n + len(docs[z]) < 200_000:
+            while z < len(docs) and n + len(docs[z]) < PLACES:
                 n += len(docs[z])
                 z += 1
             out[at:z] = _sigmoid(self.logit(docs[at:z]))
@@ -275,41 +281,58 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     # the ids of the sample are chosen before any text is joined
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
     got = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    rows = got.select("doc_id", "text", "lang", "toxic").collect()
+    # of an id that repeats one row is taken: the least text
+    got = got.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "toxic"), F.struct("text", "lang")).alias("r")).select("doc_id", "r.*")
+    rows = got.collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
     return [r[1] for r in rows], [int(r[3] > 0) for r in rows], [r[2] for r in rows]
 
 
-def toxicity(df: DataFrame, model: TextCNN, cut: float = 0.7, text_col: str = "text") -> DataFrame:
-    """Adds score, predicted (score >= cut) and flagged (score >= its language's threshold) to the rows."""
-    import pickle
-
-    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model.__dict__ | {"table": None}))  # of fixed size
-    old = [c for c in df.columns if c not in ("score", "predicted", "flagged")]
-    src = df.select(*[F.col(f"`{c}`") for c in old])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", score double, predicted int, flagged int"
-    from pyspark.sql.pandas.types import to_arrow_type
+def score_of(model: TextCNN, text: Column) -> Column:
+    """The score of a text; only the text goes to Python, and only its score comes back."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(pickle.dumps(model.__dict__ | {"table": None}))  # of fixed size
 
-    kinds = [(f.name, to_arrow_type(f.dataType)) for f in src.schema]
-
-    def run(batches):
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = TextCNN.__new__(TextCNN)
         m.__dict__ = pickle.loads(shared.value)
         m.prepare()
         seen = Buckets()
-        names = [c for c, _ in kinds]
+        for b in batches:
+            out, held, size = [], [], 0
+            for k in range(0, len(b), 64):
+                for t in b.slice(k, 64).to_pylist():
+                    held.append(word_ids(t, seen))
+                    size += len(held[-1])
+                if size >= PLACES:
+                    out.append(m.score(held))
+                    held, size = [], 0
+            if held:
+                out.append(m.score(held))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        release()
+
+    return scored(text)
+
+
+def flag_of(model: TextCNN, score: Column, lang: Column, cut: float = 0.7) -> Column:
+    """True where the score reaches the threshold of its language (``cut`` for others)."""
+    known = F.create_map(*[F.lit(x) for p in sorted(model.thresholds.items()) for x in p]) if model.thresholds else None  # languages of the labelled sample only
+    limit = F.coalesce(F.element_at(known, lang), F.lit(cut)) if known is not None else F.lit(cut)
+    return score >= limit
 
-        def named(bs):
-            for b in bs:
-                yield b.rename_columns(["text" if c == text_col else c for c in names])
 
-        for _, rows, texts in blocks(named(batches)):
-            s = m.score([word_ids(t, seen) for t in texts])
-            cols = {c: pa.array(texts if c == text_col else [r[c] for r in rows], k) for c, k in kinds}
-            limits = np.array([m.thresholds.get(r.get("lang"), cut) for r in rows])
-            yield pa.RecordBatch.from_pydict(cols | {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= cut).astype(np.int32)), "flagged": pa.array((s >= limits).astype(np.int32))})
+def toxicity(df: DataFrame, model: TextCNN, cut: float = 0.7, text_col: str = "text") -> DataFrame:
+    """Adds score, predicted (1 if score >= cut) and flagged (1 if score >= its language's threshold) to the rows.
 
-    return src.mapInArrow(run, schema)
+    Columns of the input with these names give way to the result; a filter that
+    must keep them uses ``score_of`` and ``flag_of``.
+    """
+    old = [c for c in df.columns if c not in ("score", "predicted", "flagged")]
+    lang = F.col("lang") if "lang" in old else F.lit(None).cast("string")
+    out = df.select(*[F.col(f"`{c}`") for c in old], score_of(model, F.col(f"`{text_col}`")).alias("score"))
+    s = F.col("score")
+    return out.withColumns({"predicted": (s >= cut).cast("int"), "flagged": flag_of(model, s, lang, cut).cast("int")})
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,5 +340,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
     model = train(*training_rows(docs, labels))
-    out = toxicity(docs.select("doc_id", "lang", F.col("text")), model)
+    out = toxicity(docs.select("doc_id", "lang", "text"), model)
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "flagged")
