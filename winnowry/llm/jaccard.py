@@ -29,7 +29,11 @@ keep.  ``SLACK`` more parts than the least number leave room for a large m.
 
 Defined results: null and blank texts have no shingle and link with nothing;
 fewer words than a shingle has are one shingle; rows with equal ids are kept one
-for one; null ids never name a component (all-null components have null).
+for one; null ids never name a component (all-null components have null); an empty
+table gives an empty result; other columns, whatever their names, are returned by
+``one_per_group`` as they are and ignored otherwise.  Words, shingles and sets go
+by 64-bit hashes: among n different sets some n^2 / 2^65 pairs are taken for equal
+by chance (3 among 10^10); rows go by 128 bits.
 """
 
 from __future__ import annotations
@@ -42,18 +46,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import PACKED, blocks, pack, packed_batches, unpack
-from .common import fan_out, materialise, table
+from .blocks import PACKED, blocks, pack, packed_batches, release, unpack
+from .common import discard, fan_out, free, materialise, table
 from .components import components
 
-CLUSTER_SETS = 4_000
-CLUSTER_ELEMENTS = 3_000_000
-CHUNK_SETS = 1_000
-PIVOTS = 64
+#: Clusters of more sets or elements are worked on in chunks of so many sets, in rounds of at first PIVOTS pivots, four times as many each time up to MOST_PIVOTS.
+CLUSTER_SETS = 400
+CLUSTER_ELEMENTS = 1_000_000
+CHUNK_SETS = 200
+PIVOTS = 256
+MOST_PIVOTS = 2_048
 BLOOM_BITS = 26
 SUBPARTS = 4
 SLACK = 1.2
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
+#: Bytes of text whose sets and signatures are held at once.
+BLOCK = 2 << 20
 U = np.uint64
 
 
@@ -161,9 +169,10 @@ def _tie(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order[first], sig[first], np.unique(ties, axis=0) if len(ties) else ties
 
 
-def row_key():
-    """Names a row by its id and text: equal rows share it."""
-    return F.xxhash64("doc_id", "text")
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """Names a row by its id and text in 128 bits: equal rows share it."""
+    told = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat(told[0], F.lit("\x01"), told[1])))
 
 
 def sets_of(df: DataFrame, n: int) -> DataFrame:
@@ -175,14 +184,15 @@ def sets_of(df: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         seen = WordHashes()
-        for _, rows, texts in blocks(batches):
+        for _, rows, texts in blocks(batches, BLOCK):
             sets = [shingles(t, n, seen) for t in texts]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([r["doc_id"] for r in rows], kind), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), "row_key": pa.array([r["row_key"] for r in rows], pa.int64()),
+                "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), "row_key": pa.array([r["row_key"] for r in rows], pa.binary()),
             })
+        release()
 
-    return df.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_shingles long, node long, row_key long")
+    return df.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_shingles long, node long, row_key binary")
 
 
 def ties(df: DataFrame, n: int, percent: int) -> DataFrame:
@@ -192,7 +202,7 @@ def ties(df: DataFrame, n: int, percent: int) -> DataFrame:
     def make(batches):
         def rows():
             seen, bands = WordHashes(), Bands(percent)
-            for name, _, texts in blocks(batches):
+            for name, _, texts in blocks(batches, BLOCK):
                 own = {}
                 for t in texts:
                     s = shingles(t, n, seen)
@@ -215,7 +225,8 @@ def ties(df: DataFrame, n: int, percent: int) -> DataFrame:
                     used, local = np.unique(idx[o], return_inverse=True)
                     yield int(bucket[o[0]]), name, 0, pickle.dumps((sig[o], local.astype(np.uint16 if len(used) < 65_000 else np.int32), nodes[used]), protocol=5)
 
-        return packed_batches(rows(), 64)
+        yield from packed_batches(rows(), 64)
+        release()
 
     def meet(t: pa.Table) -> pa.Table:
         sig, node, found = [], [], []
@@ -282,13 +293,14 @@ def cluster_sets(df: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         seen = WordHashes()
-        for _, _, texts in blocks(batches):
+        for _, _, texts in blocks(batches, BLOCK):
             own = {}
             for t in texts:
                 s = shingles(t, n, seen)
                 if len(s) and _maybe(shared.value, k := node_of(s)):
                     own[k] = s
             yield pa.RecordBatch.from_pydict({"node": pa.array(list(own), pa.int64()), "elements": pa.array([s.tobytes() for s in own.values()], pa.binary())})
+        release()
 
     got = df.select("text").mapInArrow(run, "node long, elements binary")
     return got.join(clusters.select(F.col("node").alias("n"), "comp"), F.col("node") == F.col("n")).select("node", "comp", "elements")
@@ -315,7 +327,8 @@ def resolve_large(sets: DataFrame, percent: int, chunk_sets: int = CHUNK_SETS, p
     """(node, comp) by links inside clusters too large for one task; sets: (node, comp, elements).
 
     Pivots of each round come in equal numbers from the largest part known to be
-    connected, which soon draws in what links to it, and from the rest.
+    connected, which soon draws in what links to it, and from the rest.  Their
+    number grows fourfold from round to round up to MOST_PIVOTS.
     """
     sets = sets.groupBy("node").agg(F.first("comp").alias("comp"), F.first("elements").alias("elements"))
     sizes = sets.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), F.ceil(F.col("members") / chunk_sets).cast("int").alias("chunks"))
@@ -344,7 +357,7 @@ def resolve_large(sets: DataFrame, percent: int, chunk_sets: int = CHUNK_SETS, p
         if most.isEmpty():
             break
         draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        share = pivots / 2 / F.when(F.col("label") == F.col("top"), F.col("n_top")).otherwise(F.col("n_rest"))
+        share = min(pivots << min(20, 2 * (turn - 1)), max(pivots, MOST_PIVOTS)) / 2 / F.when(F.col("label") == F.col("top"), F.col("n_top")).otherwise(F.col("n_rest"))
         chosen = open_.join(most, F.col("comp") == F.col("c")).where(draw < share).select(F.col("node").alias("p"))
         least = open_.join(most, F.col("comp") == F.col("c")).where(F.col("label") != F.col("top")).groupBy("comp").agg(F.min("node").alias("p")).select("p")
         chosen = materialise(chosen.union(least).distinct())
@@ -354,8 +367,10 @@ def resolve_large(sets: DataFrame, percent: int, chunk_sets: int = CHUNK_SETS, p
         pivot = live.join(chosen, F.col("node") == F.col("p"), "left_semi").select("comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "label", "elements", F.lit(True).alias("pivot"))
         links = members.unionByName(pivot).groupBy("comp", "chunk").applyInArrow(compare, "a long, b long")
         to = components(links).select(F.col("node").alias("k"), F.col("comp").alias("to"))
+        before = state
         state = state.join(to, F.col("label") == F.col("k"), "left").join(chosen, F.col("node") == F.col("p"), "left")
         state = materialise(state.select("node", "comp", F.coalesce("to", "label").alias("label"), (F.col("done") | F.col("p").isNotNull()).alias("done")))
+        discard(before)
     return state.select("node", F.col("label").alias("comp"))
 
 
@@ -391,7 +406,7 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, cluster_set
     return out.select("doc_id", "n_shingles", "node", "row_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-#: Rows to drop that may be broadcast (8 bytes each); beyond it both sides are shuffled.
+#: Rows to drop that may be broadcast (16 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -401,20 +416,21 @@ def one_per_group(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of each group the row with the least id stays (with null ids only: the least
     row key).  Rows without a shingle are in no group and all stay.
     """
-    named = materialise(jaccard_components(df, n, percent).where("node is not null").select("doc_id", "row_key", "component_id", F.coalesce("component_id", "node").alias("grp")))
+    named = materialise(jaccard_components(df, n, percent).where("node is not null").select("doc_id", "row_key", "component_id", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("node "), F.col("node"))).alias("grp")))
     best = named.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("k"))
     keys = named.groupBy("row_key").agg(F.count("*").alias("rows"))
     flagged = keys.join(best, F.col("row_key") == F.col("k"), "left").select("row_key", "rows", F.col("k").isNotNull().alias("stays"))
     gone = materialise(flagged.where("not stays or rows > 1"))
-    drop = gone.select(F.col("row_key").alias("_k"))
+    key, k = free(df, "key"), free(df, "gone")
+    drop = gone.select(F.col("row_key").alias(k))
     if gone.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    keyed = df.withColumn("_key", row_key())
-    out = keyed.join(drop, F.col("_key") == F.col("_k"), "left_anti")
-    again = gone.where("stays").select(F.col("row_key").alias("_k"))
+    keyed = df.withColumn(key, row_key())
+    out = keyed.join(drop, F.col(key) == F.col(k), "left_anti")
+    again = gone.where("stays").select(F.col("row_key").alias(k))
     if not again.isEmpty():  # rows that are repeated as a whole: one of each
-        out = out.unionByName(keyed.join(again, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]))
-    return out.drop("_key")
+        out = out.unionByName(keyed.join(again, F.col(key) == F.col(k), "left_semi").dropDuplicates([key]))
+    return out.drop(key)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ Native: DataFrame functions only.
 
 Defined results: a null text has size 0; documents with equal ids and texts
 have equal hashes and go in or stay out together; null sources are a source of
-their own; a source of size 0 has target 0; extra columns are ignored.
+their own; a source of size 0 has target 0; repeated rows are rows of their own;
+an empty table gives an empty result; other columns, whatever their names, are
+returned by ``mixed`` as they are and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, materialise, table
+from .common import WORD, free, materialise, table
 
 #: Bits of the hash that each level of histograms resolves.
 LEVELS = (10, 10, 10)
 BITS = sum(LEVELS)
+#: Most sources (rows of a few dozen bytes) that are broadcast; beyond it the join shuffles.
+BROADCAST_SOURCES = 100_000
 
 
 def sized(df: DataFrame, text_col: str = "text") -> Column:
@@ -94,27 +98,35 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return goal.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
 
 
-def with_copies(df: DataFrame, planned: DataFrame, hash_: Column, source_col: str = "source") -> DataFrame:
-    """Adds source_size, target and copies to rows."""
-    p = planned.withColumnRenamed("source", "_source")
-    out = df.withColumn("_hash", hash_).join(p, F.col(source_col).eqNullSafe(F.col("_source")))
-    return out.withColumn("copies", (F.col("whole") + F.when(F.col("_hash") < F.col("cut"), 1).otherwise(0)).cast("long")).drop("_source", "_hash", "whole", "cut")
+def with_copies(df: DataFrame, planned: DataFrame, hash_: Column, source_col: str = "source") -> tuple[DataFrame, str]:
+    """df with one more column, and its name: a struct of the source's size, its target and how often the row is taken."""
+    s, name = free(df, "planned_source"), free(df, "mix")
+    p = planned.select(F.col("source").alias(s), F.struct("source_size", "target", "whole", "cut").alias(name))
+    out = df.join(F.broadcast(p) if planned.count() <= BROADCAST_SOURCES else p, F.col(f"`{source_col}`").eqNullSafe(F.col(s)))
+    m = F.col(name)
+    copies = (m["whole"] + F.when(hash_ < m["cut"], 1).otherwise(0)).cast("long")
+    return out.drop(s).withColumn(name, F.struct(m["source_size"].alias("source_size"), m["target"].alias("target"), copies.alias("copies"))), name
+
+
+def _slim(df: DataFrame, seed: int, source_col: str, text_col: str, id_col: str) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), sized(df, f"`{text_col}`").alias("size"), hashed(f"`{id_col}`", f"`{text_col}`", seed).alias("hash"))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) of every row; ``copies`` is how often the mix takes it."""
-    rows = materialise(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sized(df, text_col).alias("size"), hashed(id_col, text_col, seed).alias("hash")))
-    out = with_copies(rows, plan(rows, weights, share, most), F.col("hash"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    rows = materialise(_slim(df, seed, source_col, text_col, id_col))
+    out, m = with_copies(rows, materialise(plan(rows, weights, share, most)), F.col("hash"))
+    m = F.col(m)
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", m["source_size"].alias("source_size"), m["target"].alias("target"), m["copies"].alias("copies"), (F.col("size") * m["copies"]).cast("long").alias("taken"))
 
 
 def mixed(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: the rows of df, each as often as it is taken."""
-    h = hashed(id_col, text_col, seed)
-    rows = materialise(df.select(F.col(source_col).alias("source"), sized(df, text_col).alias("size"), h.alias("hash")))
-    out = with_copies(df, materialise(plan(rows, weights, share, most)), h, source_col).where("copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[f"`{c}`" for c in df.columns])
+    """The mix itself: the rows of df, each as often as it is taken, with df's columns."""
+    rows = materialise(_slim(df, seed, source_col, text_col, id_col).drop("id"))
+    out, m = with_copies(df, materialise(plan(rows, weights, share, most)), hashed(f"`{id_col}`", f"`{text_col}`", seed), source_col)
+    out = out.where(F.col(m)["copies"] > 0)
+    again = F.explode(F.sequence(F.lit(1), F.col(m)["copies"].cast("int"))).alias(free(df, "copy"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], again).drop(free(df, "copy"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
