@@ -7,21 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnowry.llm import bpe, jaccard, mixing, quality, toxicity
-from winnowry.llm.common import fold, materialise, table
+from winnowry.llm.common import discard, fold, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under their language's calibrated threshold (0.7 for languages without one); learnt from labels outside the held-out third."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
     model = toxicity.train(*toxicity.training_rows(docs, labels))
-    return toxicity.toxicity(docs, model).where("flagged = 0").select(docs.columns)
+    return docs.where(~toxicity.flag_of(model, toxicity.score_of(model, F.col("text")), F.col("lang")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near their language's and source's statistics."""
-    rows = quality.statistics(docs.select("lang", "source", "text")).drop("text")
-    fitted = quality.fit(materialise(rows.select("lang", "source", "base_failed", *quality.STATS)))
-    return quality.judge(quality.statistics(docs), fitted).where("kept").select(docs.columns)
+    return quality.accepted(docs)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)  # the table itself is no materialised frame and stays
     return STAGES[-1][1](spark, docs, sf_dir)
