@@ -10,9 +10,14 @@ ancestors and descendants never contradict each other.
 There are no labelled pages, so the model is trained on pages it makes itself, in many
 layouts, in which it is known what is main text (``synthetic_pages``, a fixed number and seed).
 
+Elements inside lines are judged like blocks where they have attributes that tell
+something (class, id, role, hidden, style); leaving one out does not break the line.
+
 Defined results: null and empty html give an empty text; broken markup (open
-ends, stray end tags) is repaired as browsers do in simple cases; nothing is
-truncated; rows are kept one for one; extra columns are ignored.
+ends, stray end tags) is repaired as browsers do in simple cases, and a quote
+that is never closed counts as part of a value that ends at white space or >;
+nothing is truncated; rows are kept one for one, repeated ones too; other columns
+are returned as they are, but for one named ``text``, which gives way to the result.
 """
 
 from __future__ import annotations
@@ -27,19 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import release
 from .common import table
 
 #: Fixed values of HTML: elements without content, of raw text, inside lines, and those that an opening block ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object select button".split())
-NEVER = RAW | {"head"}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+NEVER = RAW | frozenset("head template svg object select canvas audio video datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")), "option": ("option", ("select",))}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+# attributes as browsers read them: quotes count right after = only; all repetitions are possessive, so no page takes more than linear time
+_VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++|(?=>)))?+"""
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?+|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+{_VALUE})*+)>", re.S)
+# tags of pages in which some quote is never closed
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?+|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)|(?=>)))?+""")
+_NONE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?+", re.S)  # no > follows any more
 _TOKEN = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 GOOD = frozenset("article content main post entry story body text blog news page prose richtext articlebody".split())
 BAD = {
@@ -52,15 +65,15 @@ BAD = {
     "tool": frozenset("share sharing social tools toolbar buttons search login form".split()),
 }
 ALL_BAD = frozenset().union(*BAD.values())
-TAGS = {t: k for k, group in enumerate(("html body", "article main", "section div", "p blockquote pre figure figcaption", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "nav menu", "header", "footer", "aside", "form fieldset dialog", "table tbody tr td th thead tfoot caption", "address details summary")) for t in group.split()}
-N_FEATURES = 38
+TAGS = {t: k for k, group in enumerate(("html body", "article main", "section div", "p blockquote pre figure figcaption", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "nav menu", "header", "footer", "aside", "form fieldset dialog button", "table tbody tr td th thead tfoot caption", "address details summary")) for t in group.split()}
+N_FEATURES = 41
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "parts", "kids", "depth", "index", "chars", "links", "words", "marks", "tags", "paras", "hidden", "id", "good", "bad")
+    __slots__ = ("tag", "tokens", "parent", "parts", "kids", "depth", "index", "chars", "links", "words", "marks", "tags", "paras", "hidden", "id", "good", "bad", "inline")
 
-    def __init__(self, tag, tokens, parent, hidden=False):
-        self.tag, self.tokens, self.parent, self.hidden = tag, tokens, parent, hidden
+    def __init__(self, tag, tokens, parent, hidden=False, inline=False):
+        self.tag, self.tokens, self.parent, self.hidden, self.inline = tag, tokens, parent, hidden, inline
         self.parts: list = []
         self.kids: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
@@ -74,12 +87,42 @@ class Node:
             parent.parts.append(self)
 
 
+class _Open:
+    """The stack of open elements, with the places of each tag in it."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {}, [0]
+
+    def push(self, x: Node) -> None:
+        self.at.setdefault(x.tag, []).append(len(self.stack))
+        if not x.inline:
+            self.blocks.append(len(self.stack))
+        self.stack.append(x)
+
+    def last(self, names) -> int:
+        return max((self.at[t][-1] for t in names if self.at.get(t)), default=0)
+
+    def close(self, names, barrier=()) -> bool:
+        """Close the last open element of these names and all in it, unless one of the barrier is in between."""
+        k = self.last(names)
+        if not k or self.last(barrier) > k:
+            return False
+        while len(self.stack) > k:
+            x = self.stack.pop()
+            self.at[x.tag].pop()
+            if not x.inline:
+                self.blocks.pop()
+        return True
+
+
 def parse(page: str) -> Node:
-    """The tree of block elements; parts are strings, BREAK and nodes in page order."""
+    """The tree of judged elements; parts are strings, None for a break, and nodes in page order."""
     root = Node("#root", frozenset(), None)
-    stack = [root]
+    tree = _Open(root)
+    stack = tree.stack
     links = 0
-    at, n = 0, len(page)
+    at, n, markup = 0, len(page), _MARKUP
+    endless: set[str] = set()  # raw elements known to have no end further on
 
     def text(s: str) -> None:
         if s:
@@ -88,17 +131,12 @@ def parse(page: str) -> Node:
             if links:
                 top.links += len(s)
 
-    def close(names, barrier=()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in barrier:
-                return
-
     while at < n:
         lt = page.find("<", at)
-        m = _MARKUP.match(page, lt) if lt >= 0 else None
+        m = markup.match(page, lt) if lt >= 0 else None
+        if not m and markup is _MARKUP and lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] == "/"):
+            markup = _PLAIN if page.find(">", lt) >= 0 else _NONE
+            continue
         if not m:  # a lone < is text
             stop = lt + 1 if lt >= 0 else n
             text(page[at:stop])
@@ -113,41 +151,51 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            if name == "a":
-                links = max(0, links - 1)
-            elif name == "p" and not any(x.tag == "p" for x in stack):
+            if name in INLINE:
+                if name == "a":
+                    links = max(0, links - 1)
+                # ends of elements inside lines reach no further than the block they stand in
+                if tree.last((name,)) > tree.blocks[-1]:
+                    tree.close((name,))
+            elif name == "p" and not tree.at.get("p"):
                 stack[-1].parts.append(None)
-            elif name not in INLINE and name not in VOID:
-                if any(x.tag == name for x in stack[1:]):
-                    close((name,))
-                    links = 0
+            elif name not in VOID and tree.close((name,)):
+                links = 0
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(page, at)
-            at = n if end is None and name in ("script", "style", "textarea", "title") else end.end() if end else at
-            stack[-1].parts.append(None)
-            continue
-        if name in INLINE:
-            links += name == "a"
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end is None:
+                endless.add(name)
+            at = end.end() if end else n if name in ("script", "style", "textarea", "title") else at
+            if name != "noscript":
+                stack[-1].parts.append(None)
             continue
         if name in VOID:
             if name in ("br", "hr"):
                 stack[-1].parts.append(None)
             continue
+        attrs: dict[str, str] = {}
+        for k, a, b, c in _ATTR.findall(m[3]) if m[3].strip(" /") else ():
+            attrs.setdefault(k.lower(), html_lib.unescape(a or b or c))
+        words = " ".join(attrs.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label")).lower() if attrs else ""
+        hidden = name in NEVER or "hidden" in attrs or bool(_UNSEEN.search(attrs.get("style", "").lower()))
+        tokens = frozenset(_TOKEN.findall(words))
+        if name in INLINE:
+            links += name == "a"
+            if tokens or hidden:
+                tree.push(Node(name, tokens, stack[-1], hidden, True))
+            continue
         if name in ENDS_P:
-            close(("p",), ("td", "th", "li", "div", "section", "article", "aside", "main", "body", "blockquote", "form"))
-            if name in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
+            tree.close(("p",), ("td", "th", "li", "div", "section", "article", "aside", "main", "body", "blockquote", "form", "button", "table", "caption", *NEVER))
+            if name in HEADINGS and stack[-1].tag in HEADINGS:
+                tree.close((stack[-1].tag,))
         if name in SCOPE:
-            close(SCOPE[name][0].split(), SCOPE[name][1])
-        if name in ("html", "body") and any(x.tag == name for x in stack):
+            tree.close(SCOPE[name][0].split(), SCOPE[name][1])
+        if name in ("html", "body") and tree.at.get(name):
             continue
         if name == "body":
-            close(("head",))
-        attrs = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(m[3])} if m[3] else {}
-        words = " ".join(attrs.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label")).lower() if attrs else ""
-        hidden = name in NEVER or bool(re.search(r"(?<![-\w])hidden(?![-\w=])", m[3])) or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        stack.append(Node(name, frozenset(_TOKEN.findall(words)), stack[-1], hidden))
+            tree.close(("head",))
+        tree.push(Node(name, tokens, stack[-1], hidden, name == "button"))
         links = 0
     return root
 
@@ -193,13 +241,14 @@ def features(nodes: list[Node]) -> np.ndarray:
         p = x.parent
         row[23:31] = (x.depth, x.index, len(p.kids) if p else 1, len(x.kids), np.log1p(x.chars), x.links / max(1, x.chars), x.chars / x.tags, x.paras)
         row[31:38] = (x.marks / max(1, x.words), x.chars / total, p.chars / total if p else 1, p.links / max(1, p.chars) if p else 0, (x.chars - sum(k.chars for k in x.kids)) / max(1, x.chars), x.good, x.bad)
+        row[38:41] = (x.inline, x.chars / max(1, p.chars) if p else 1, x.tag in ("article", "main"))
     return out
 
 
 class Boosted:
     """Depth-3 regression trees on the gradients of the logistic loss, over 16-bin histograms."""
 
-    def __init__(self, rounds: int = 30, depth: int = 3, rate: float = 0.3):
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.3):
         self.rounds, self.depth, self.rate = rounds, depth, rate
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -266,6 +315,9 @@ def main_text(root: Node, kept: list[bool]) -> str:
         x = todo.pop()
         if isinstance(x, str):
             line.append(x)
+        elif isinstance(x, Node) and x.inline:
+            if kept[x.id]:
+                todo.extend(reversed(x.parts))
         else:
             if line:
                 blocks.append("".join(line))
@@ -280,7 +332,7 @@ def main_text(root: Node, kept: list[bool]) -> str:
 _WORDS = "ra ti on the er in an de ge lo mu ta ke si vor el as pu".split()
 
 
-def synthetic_pages(n: int = 260, seed: int = 4) -> list[tuple[str, str]]:
+def synthetic_pages(n: int = 400, seed: int = 4) -> list[tuple[str, str]]:
     """(html, mark) pages in many layouts; main text is inside words that begin with the mark."""
     r = random.Random(seed)
     mark = "qz"
@@ -299,8 +351,22 @@ def synthetic_pages(n: int = 260, seed: int = 4) -> list[tuple[str, str]]:
     def links():
         return "".join(f'<p><a href="/{k}">{words(3, 9)}</a></p>' for k in range(r.randint(2, 6)))
 
+    def inside(m):
+        """Elements inside a line: plain ones, and now and then an advert, a control or something unseen."""
+        t = r.choice(["span", "span", "em", "small", "a", "b"])
+        if r.random() < 0.5:
+            return f'<{t} class="{r.choice(["highlight", "term", "x1", "caps", "quote", "lead", "note-ref"])}">{words(1, 12, m)}</{t}>'
+        return r.choice([
+            f'<{t} class="{r.choice(["ad", "advert sponsored", "sponsored", "promo", "share", "social", "newsletter", "popup"])}">{words(1, 9)}</{t}>',
+            f'<button class="{r.choice(["share", "subscribe", "btn"])}">{words(1, 2)}</button>',
+            f'<span style="display:none">{words(1, 6)}</span>',
+        ])
+
     def paragraph(m):
-        return f"<p>{r.choice(['', '', '<b>'])}{words(1, r.choice([1, 4, 12, 60, 60]), m)}{r.choice(['</p>', '</p>', '<br>'])}"
+        own = words(1, r.choice([1, 4, 12, 60, 60]), m)
+        if r.random() < 0.2:
+            own += f" {inside(m)} {words(0, 12, m)}"
+        return f"<p>{r.choice(['', '', '<b>'])}{own}{r.choice(['</p>', '</p>', '<br>'])}"
 
     def comments():
         def one():
@@ -351,31 +417,45 @@ def trained() -> Boosted:
     return Boosted().fit(np.concatenate(xs), np.array(ys, float))
 
 
+#: Pages are worked on together up to so many, and so many characters.
+BATCH_PAGES = 128
+BATCH_CHARS = 2 << 20
+
+
+def texts_of(pages: list[str | None], model: Boosted) -> list[str]:
+    trees = [measured(parse(p or "")) for p in pages]
+    logit = model.logit(np.concatenate([features(t) for t in trees]))
+    cuts = np.cumsum([0, *map(len, trees)])
+    return [main_text(t[0], decode(t, logit[a:z])) for t, a, z in zip(trees, cuts, cuts[1:], strict=False)]
+
+
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """Adds text, the main text of ``html_col``, in place of that column."""
+    """The other columns and text, the main text of ``html_col``."""
     import pickle
 
-    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(trained()))  # of fixed size
-    others = [f for f in df.schema if f.name not in (html_col, "text")]
-    src = df.select(*[F.col(f"`{f.name}`") for f in others], F.col(html_col).alias("html"))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others) + "text string"
-    kinds = [(f.name, to_arrow_type(f.dataType)) for f in others]
+    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(trained()))  # of fixed size
+    others = [f for f in df.schema if f.name not in (html_col, "text")]
+    src = df.select(*[F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(others)], F.col(f"`{html_col}`").alias("html"))
+    schema = "".join(f"c{k} {f.dataType.simpleString()}, " for k, f in enumerate(others)) + "text string"
+    kinds = [(f"c{k}", to_arrow_type(f.dataType)) for k, f in enumerate(others)]
 
     def run(batches):
         model = pickle.loads(shared.value)
-        for big in batches:
-            for at in range(0, big.num_rows, 128):
-                batch = big.slice(at, 128)
-                pages = [measured(parse(h or "")) for h in batch.column("html").to_pylist()]
-                logit = model.logit(np.concatenate([features(p) for p in pages]))
-                cuts = np.cumsum([0, *map(len, pages)])
-                texts = [main_text(p[0], decode(p, logit[a:z])) for p, a, z in zip(pages, cuts, cuts[1:], strict=False)]
-                cols = [batch.column(f).cast(k) if batch.column(f).type != k else batch.column(f) for f, k in kinds]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*(f for f, _ in kinds), "text"])
-
-    return src.mapInArrow(run, schema)
+        for batch in batches:
+            cols = [batch.column(f).cast(k) if batch.column(f).type != k else batch.column(f) for f, k in kinds]
+            html, at = batch.column("html"), 0
+            while at < batch.num_rows:
+                pages, held = [], 0
+                while at + len(pages) < batch.num_rows and len(pages) < BATCH_PAGES and held < BATCH_CHARS:
+                    pages.append(html[at + len(pages)].as_py())
+                    held += len(pages[-1] or "")
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(pages)) for c in cols), pa.array(texts_of(pages, model), pa.string())], names=[*(f for f, _ in kinds), "text"])
+                at += len(pages)
+        release()
+
+    return src.mapInArrow(run, schema).select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(others)], "text")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
