@@ -25,15 +25,34 @@ from pyspark import TaskContext
 
 BLOCK_BYTES = 6 << 20
 BLOCK_DOCS = 60_000
+ZSTD = pa.Codec("zstd", compression_level=1)
 PACKED = "bucket int, block string, kind int, payload binary"
 
 
 def pack(x) -> bytes:
-    return zlib.compress(pickle.dumps(x, protocol=5), 1)
+    raw = pickle.dumps(x, protocol=5)
+    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
 
 
 def unpack(x: bytes):
-    return pickle.loads(zlib.decompress(x))
+    return pickle.loads(ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True))
+
+
+def compact(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the smallest type that holds them."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+
+
+def planes(x: np.ndarray) -> tuple[int, bytes]:
+    """Numbers from 0 on byte by byte, all low bytes first: small numbers then pack well."""
+    x = compact(x)
+    return x.dtype.itemsize, x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def unplanes(x: tuple[int, bytes]) -> np.ndarray:
+    size, raw = x
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(f"<u{size}").ravel()
 
 
 def release() -> None:
@@ -92,7 +111,8 @@ def packed(block: str, tokens: list[list], meta: dict, n_buckets: int) -> Iterat
     for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True) if len(order) else ():
         own = order[a:z]
         sizes = (starts[own + 1] - starts[own]).astype(np.uint16 if n < 65_000 else np.int64)
-        rows = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in own])
+        n_own = starts[own + 1] - starts[own]
+        rows = np.repeat(starts[own] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())
         yield int(bucket[own[0]]), block, 0, pack(([terms[k] for k in own], sizes, doc[rows], count[rows].astype(np.uint8 if small else np.int32), n))
     yield zlib.crc32(block.encode()) % n_buckets, block, 1, pack(meta)
 

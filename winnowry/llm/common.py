@@ -73,6 +73,14 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df, or where its rows might come in another order when a task is run again (after a shuffle or a Python step), a written copy of it."""
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    firm = ("Project", "Filter", "Relation", "LocalRelation", "SubqueryAlias", "View")
+    names = [line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
+    return df if all(n.startswith(firm) for n in names) else materialise(df)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes behind a frame (files: their size)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

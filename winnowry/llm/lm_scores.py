@@ -1,27 +1,30 @@
 """Operator 10, LM scoring: a causal self-attention model over subword ids.
 
-Counts first: words of all training texts are counted where they meet, in hash
-buckets of packed bags (``blocks``).  That gives every text its unigram score.
-
-The model then predicts, at each word, the class of the next one.  A word is the
-bag of its subword ids (byte-level BPE, a public vocabulary); its class is given
-by the first of them, with classes chosen from the counts over all training
-texts.  One head of masked self-attention over learned relative places and a
-feed-forward layer are trained in numpy.  First weights come from a few texts;
-then every training text is learnt from once and whole (``learn_all``): in each
-of ``ROUNDS`` rounds the partitions learn from the round's texts side by side,
-and their weights are averaged.  A word's probability is P(class | words before) x P(word | class), the second factor from the
-counts over all training texts, so the whole is a distribution over known words
-and one unknown word of each class.  Long texts are cut into overlapping windows: each scores
-its last ``STRIDE`` places only, with the places before as context, so every
-token is scored once.
-
-Attending over words, each a sum of subword embeddings, rather than over the
-subword sequence, keeps the cost at one position per word.
+Texts are cut into words once.  A block of texts becomes numbers into the list of
+its distinct words; the words go to hash buckets, where all uses of a word meet:
+its count in the training texts and its subword ids (byte-level BPE, a public
+vocabulary) are worked out there, once, and sent back to the blocks.  Blocks with
+all they need (``gathered``) are written as a table; training and scoring are
+maps over it.
+
+A word is a chain of subword ids.  The class of its first id is predicted by
+masked self-attention over the subword embeddings of the words before it
+(``attention``); the first id given its class, and each further id given those
+before it in the word, have the shares that exact counts over all training texts
+give them.  The product of these shares is the word's count over its class's, so
+the whole is a distribution over known words and one unknown word of each class.
+Predicting an end id and the further ids by attention too would take a softmax
+for each of some 2.5 ids a word, at several times the cost.
+
+The network learns from every training text once and whole: in each of ``ROUNDS``
+rounds partitions learn from that round's blocks side by side, and their weights
+are averaged.  Long texts are scored in overlapping windows, each token in one.
 
 Defined results: null and empty texts consist of the end token alone; rows are
-kept one for one (equal rows get equal scores); extra columns are ignored; with
-no training texts every count is 0.
+kept one for one, null and repeated ids too (equal texts get equal scores, up to
+the order of sums); other columns, whatever their names, are ignored; with no
+training texts every count is 0 and every class as likely as its share; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,23 +39,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import PACKED, blocks, pack, packed, packed_batches, unpack
-from .common import fan_out, fold, materialise, table
-
-CLASSES = 128
-DIM = 24
-WINDOW = 32
-STRIDE = 24
-N_IDS = 50_257
-#: Texts for the first weights: no more are taken once they hold so many words.
-SAMPLE_WORDS = 250_000
-SAMPLE_DOCS = 2_000
-#: Passes over disjoint parts of the training texts, and windows of a batch in them.
-ROUNDS = 2
-BATCH = 64
+from .attention import CLASSES, DIM, N_IDS, Attention, Bags, Trainer
+from .blocks import PACKED, Numbers, blocks, compact, pack, packed_batches, planes, release, unpack, unplanes
+from .common import fan_out, fold, materialise, steady, table
+
+#: Passes over disjoint parts of the blocks, and by which remainders of their hashes modulo 4 they are dealt.
+ROUNDS = ((0,), (1, 2, 3))
+RATE = 0.006
 #: Rows of the embedding that are averaged together.
 ROWS = 512
-REMEMBERED = 600_000
+#: Bytes of text of a block.
+BLOCK = 4 << 20
 END = b" "  # the end token; no word holds a space
 LOG10 = float(np.log(10))
 
@@ -64,479 +61,286 @@ def words(text: str | None) -> list[bytes]:
     return w
 
 
-class Subwords:
-    """Class and subword ids of words, remembered up to a bound."""
-
-    def __init__(self, path: str, classes: dict[int, int] | None = None):
-        self.path, self.classes, self.known = path, classes or {}, {}
-
-    def ids(self, new: list[bytes]) -> list[list[int]]:
-        from .token_counts import _tokenizer
-
-        t = _tokenizer(self.path)[0]
-        return [e.ids for e in t.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-
-    def class_of(self, word: bytes, ids: list[int]) -> int:
-        """0: end; then the commonest first ids of the sample; the rest is dealt by hash."""
-        if word == END:
-            return 0
-        return self.classes.get(ids[0], 1 + len(self.classes) + ids[0] % (CLASSES - 1 - len(self.classes)))
-
-
-class Bags:
-    """Numbers of words, with their subword ids and classes; word 0 is the start. Remembered up to a bound."""
-
-    def __init__(self, sub: Subwords):
-        self.sub = sub
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.starts, self.cls = np.zeros(1, np.int64), np.array([0, 1]), np.zeros(1, np.int64)
-
-    def numbers(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED // 4:
-            self.reset()
-        new = sorted({w for d in docs for w in d} - self.number.keys())
-        if new:
-            ids = self.sub.ids(new)
-            size = np.array([len(i) for i in ids])
-            self.number.update(zip(new, range(len(self.cls), len(self.cls) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int64, size.sum())])
-            self.cls = np.concatenate([self.cls, [self.sub.class_of(w, i) for w, i in zip(new, ids, strict=True)]])
-        return [np.fromiter(map(self.number.__getitem__, d), np.int64, len(d)) for d in docs]
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
-
-
-class Attention:
-    """Predicts the class at each place from the inputs before it."""
-
-    def __init__(self, seed: int = 5, n_ids: int = N_IDS):
-        r = np.random.default_rng(seed)
-        n = lambda *s, k=1.0: (r.standard_normal(s) * k).astype(np.float32)
-        self.p = {
-            "emb": n(n_ids, DIM, k=0.1), "start": n(DIM, k=0.1), "place": np.zeros(WINDOW, np.float32),
-            "q": n(DIM, DIM, k=DIM**-0.5), "k": n(DIM, DIM, k=DIM**-0.5), "v": n(DIM, DIM, k=DIM**-0.5),
-            "f1": n(2 * DIM, 2 * DIM, k=(2 * DIM) ** -0.5), "b1": np.zeros(2 * DIM, np.float32), "out": n(2 * DIM, CLASSES, k=0.05), "bo": np.zeros(CLASSES, np.float32),
-        }
-        lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
-        self.lag, self.mask = np.maximum(lag, 0), np.where(lag < 0, np.float32(-1e9), np.float32(0))
-
-    def forward(self, x: np.ndarray, real: np.ndarray, keep: bool = False, only: np.ndarray | None = None):
-        """x: (windows, places, DIM), the input before each place; real: which places stand for something; only: the places to give rows for (all, by window, if None)."""
-        p = self.p
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= DIM**-0.5
-        a += (p["place"][self.lag] + self.mask)[None]
-        a += np.where(real, np.float32(0), np.float32(-1e9))[:, None, :]
-        a = _softmax(a)
-        c = a @ v
-        z = np.concatenate([x, c], 2) if only is None else np.concatenate([x[only], c[only]], 1)
-        h = np.maximum(z @ p["f1"] + p["b1"], 0)
-        logits = h @ p["out"] + p["bo"]
-        return (logits, (q, k, v, a, z, h)) if keep else logits
-
-    def gradients(self, x: np.ndarray, real: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean loss over the scored places: by weight, and by input."""
-        p = self.p
-        pr, (q, k, v, a, z, h) = self.forward(x, real, keep=True, only=scored)
-        _softmax(pr)
-        pr[np.arange(len(pr)), target[scored]] -= 1
-        pr *= np.float32(1 / max(1, len(pr)))
-        gh = (pr @ p["out"].T) * (h > 0)
-        gz = gh @ p["f1"].T
-        gx, gc = np.zeros_like(x), np.zeros_like(x)
-        gx[scored], gc[scored] = gz[:, :DIM], gz[:, DIM:]
-        ga = gc @ v.transpose(0, 2, 1)
-        gv = a.transpose(0, 2, 1) @ gc
-        gs = a * (ga - (ga * a).sum(-1, keepdims=True))
-        gp = np.bincount(self.lag.ravel(), weights=(gs.sum(0) * (self.mask == 0)).ravel(), minlength=WINDOW).astype(np.float32)
-        gs *= np.float32(DIM**-0.5)
-        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-        gx += gq @ p["q"].T + gk @ p["k"].T + gv @ p["v"].T
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        out = {"out": h.T @ pr, "bo": pr.sum(0), "f1": z.T @ gh, "b1": gh.sum(0), "place": gp}
-        return out | {n: flat(x).T @ flat(t) for n, t in (("q", gq), ("k", gk), ("v", gv))}, gx
-
-
-def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values added up by their places at (all of 0..n-1 occur)."""
-    order = np.argsort(at, kind="stable")
-    return np.add.reduceat(values[order], np.searchsorted(at[order], np.arange(n)), 0)
-
-
-class Trainer:
-    """Adam steps over batches of windows; squares of earlier gradients may be given."""
-
-    def __init__(self, net: Attention, squares: dict[str, np.ndarray] | None = None, step: int = 0):
-        self.net, self.step, self.words = net, step, 0
-        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
-        self.s = squares or {k: np.zeros_like(v) for k, v in net.p.items()}
-        self.warm = step  # the first moments begin anew
-        self.uses = np.zeros(len(net.p["emb"]), np.int64)
-
-    def adam(self, key: str, grad: np.ndarray, rate: float, rows=slice(None)) -> None:
-        m, s = self.m[key], self.s[key]
-        m[rows] = 0.9 * m[rows] + 0.1 * grad
-        s[rows] = 0.98 * s[rows] + 0.02 * grad * grad
-        self.net.p[key][rows] -= rate * (m[rows] / (1 - 0.9 ** (self.step - self.warm))) / (np.sqrt(s[rows] / (1 - 0.98**self.step)) + 1e-7)
-
-    def batch(self, ids: np.ndarray, starts: np.ndarray, wins: np.ndarray, target: np.ndarray, real: np.ndarray, scored: np.ndarray, rate: float) -> None:
-        """ids, starts: the bags of the numbered words, word 0 being the start; wins: their numbers by window."""
-        self.step += 1
-        self.words += int(scored.sum())
-        p = self.net.p
-        used, local = np.unique(wins, return_inverse=True)
-        local = local.reshape(wins.shape)
-        n = starts[used + 1] - starts[used]
-        seg = np.cumsum(n) - n
-        own = ids[np.repeat(starts[used] - seg, n) + np.arange(n.sum())]
-        vec = np.add.reduceat(p["emb"][own], seg, 0) / n[:, None].astype(np.float32)
-        first = used == 0
-        vec[first] = p["start"]
-        by, gx = self.net.gradients(vec[local], real, target, scored)
-        for key, grad in by.items():
-            self.adam(key, grad, rate)
-        ge = _sums(gx.reshape(-1, DIM), local.ravel(), len(used))
-        if first.any():
-            self.adam("start", ge[first][0], rate)
-        true = np.repeat(~first, n)
-        if true.any():
-            rows, inv, count = np.unique(own[true], return_inverse=True, return_counts=True)
-            self.adam("emb", _sums(np.repeat(ge / n[:, None].astype(np.float32), n, axis=0)[true], inv, len(rows)), rate, rows)
-            self.uses[rows] += count
-
-    def texts(self, known: Bags, docs: list[list[bytes]], rate: float, rng: np.random.Generator, size: int) -> None:
-        """One pass over whole texts, in batches of ``size`` windows."""
-        at = 0
-        num = known.numbers(docs)
-        while at < len(num):  # bounded memory: about 60,000 places at a time
-            z, n = at + 1, len(num[at])
-            while z < len(num) and n + len(num[z]) < 60_000:
-                n += len(num[z])
-                z += 1
-            group = num[at:z]
-            inputs = np.concatenate([np.concatenate([[0], g]) for g in group])
-            target = known.cls[np.concatenate([np.concatenate([g, [0]]) for g in group])]
-            place, real, scored = _grid([len(g) for g in group])
-            order = rng.permutation(len(place))
-            for a in range(0, len(order), size):
-                b = order[a : a + size]
-                self.batch(known.ids, known.starts, inputs[place[b]], target[place[b]], real[b], scored[b], rate)
-            at = z
-
-
-def windows(n: int) -> list[tuple[int, int, int]]:
-    """(first, end, first scored) of the windows over n places: each place is scored once."""
-    out, done = [], 0
-    while done < n:
-        first = max(0, done - (WINDOW - STRIDE)) if done else 0
-        end = min(n, first + WINDOW)
-        out.append((first, end, done))
-        done = end
+def subwords(path: str, some: list[bytes]) -> list[list[int]]:
+    """Subword ids of words, each as it stands after a space."""
+    from .token_counts import _tokenizer
+
+    return [e.ids for e in _tokenizer(path)[0].encode_batch_fast([" " + w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
+
+
+def class_table(uses: np.ndarray) -> np.ndarray:
+    """Class by first subword id: the commonest ids of training words have one each, the rest are dealt by number; class 0 is the end token's."""
+    own = CLASSES - 1 - CLASSES // 8
+    top = [i for i in np.lexsort((np.arange(len(uses)), -uses))[:own].tolist() if uses[i]]
+    out = 1 + len(top) + np.arange(len(uses)) % (CLASSES - 1 - len(top))
+    out[top] = 1 + np.arange(len(top))
     return out
 
 
-def _grid(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts laid end to end, each after one start place: per window and place, the place whose input it sees, whether it is real, and whether it is scored."""
-    at, real, scored, base = [], [], [], 0
-    place = np.arange(WINDOW)
-    for n in lengths:
-        firsts, ends, dones = (np.array(x)[:, None] for x in zip(*windows(n), strict=True))
-        pos = firsts + place
-        ok = pos < ends
-        at.append(np.where(ok, base + pos, base))
-        real.append(ok)
-        scored.append(ok & (pos >= dones))
-        base += n + 1
-    return np.concatenate(at), np.concatenate(real), np.concatenate(scored)
-
-
-class Scorer:
-    """Natural-log probabilities of the class at each word of texts."""
-
-    def __init__(self, path: str, state: dict):
-        self.sub, self.net = Subwords(path, state["classes"]), Attention()
-        self.net.p = state["p"]
-        self.log_share = state.get("log_share")
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.vec, self.cls = np.empty((1024, DIM), np.float32), np.empty(1024, np.int16)
-        self.vec[0], self.cls[0] = self.net.p["start"], 0
-        self.n = 1
-
-    def learn(self, new: list[bytes]) -> None:
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            ids = self.sub.ids(part)
-            while self.n + len(part) > len(self.cls):
-                self.vec, self.cls = np.concatenate([self.vec, np.empty_like(self.vec)]), np.concatenate([self.cls, np.empty_like(self.cls)])
-            size = np.array([len(i) for i in ids])
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            z = slice(self.n, self.n + len(part))
-            self.vec[z] = np.add.reduceat(self.net.p["emb"][np.fromiter(chain.from_iterable(ids), np.int64, size.sum())], starts, 0) / size[:, None]
-            self.cls[z] = [self.sub.class_of(w, i) for w, i in zip(part, ids, strict=True)]
-            self.number.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n += len(part)
-
-    def score(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Per text: sum over its tokens of ln P(class | before) - ln share(class)."""
-        if self.n > REMEMBERED:
-            self.reset()
-        if new := list({w for d in docs for w in d} - self.number.keys()):
-            self.learn(new)
-        num = [np.fromiter(map(self.number.__getitem__, d), np.int32, len(d)) for d in docs]
-        out = np.empty(len(docs))
-        at = 0
-        while at < len(docs):
-            z, n = at + 1, len(num[at])
-            while z < len(docs) and n + len(num[z]) < 60_000:
-                n += len(num[z])
-                z += 1
-            group = num[at:z]
-            # the input at a place is the word before it; place 0 sees the start
-            inputs = np.concatenate([np.concatenate([[0], g]) for g in group])
-            target = np.concatenate([np.concatenate([g, [0]]) for g in group])
-            place, real, scored = _grid([len(g) for g in group])
-            got = np.zeros(len(inputs))
-            for a in range(0, len(place), 256):
-                s, r = scored[a : a + 256], real[a : a + 256]
-                lg = self.net.forward(self.vec[inputs[place[a : a + 256]]], r, only=s)
-                lg -= lg.max(-1, keepdims=True)
-                own = place[a : a + 256][s]
-                c = self.cls[target[own]]
-                chosen = lg[np.arange(len(c)), c]
-                got[own] = chosen - np.log(np.exp(lg, out=lg).sum(-1)) - (self.log_share[c] if self.log_share is not None else 0)
-            ends = np.cumsum([0, *(len(g) + 1 for g in group)])
-            out[at:z] = np.add.reduceat(got, ends[:-1])
-            at = z
-        return out
-
-
-_LAST: dict[tuple[str, int, int], Scorer] = {}
-
-
-def _scorer(path: str, state: bytes) -> Scorer:
-    """The scorer of a model, held by a worker from one task to the next with the words it has met (bounded by REMEMBERED)."""
-    key = path, len(state), hash(state)
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = Scorer(path, pickle.loads(state))
-    return _LAST[key]
-
-
-def commonest(uses: np.ndarray) -> dict[int, int]:
-    """Classes of the first subword ids that words use most."""
-    top = [i for i in np.lexsort((np.arange(len(uses)), -uses))[: CLASSES - 1 - 16].tolist() if uses[i]]
-    return {i: 1 + k for k, i in enumerate(top)}
-
-
-def fit(texts: list[str | None], path: str, classes: dict[int, int], epochs: int = 4, rate: float = 3e-3) -> dict:
-    """First weights, from some whole texts; ``learn_all`` goes on from there."""
-    docs, n = [], 0
-    for t in texts:
-        if n >= SAMPLE_WORDS:
-            break
-        docs.append(words(t))
-        n += len(docs[-1])
-    net, known, rng = Attention(), Bags(Subwords(path, classes)), np.random.default_rng(1)
-    trainer = Trainer(net)
-    for e in range(epochs if docs else 0):
-        trainer.texts(known, docs, rate * (1 - 0.8 * e / max(1, epochs - 1)), rng, 32)
-    return {"classes": classes, "p": net.p, "squares": trainer.s, "step": trainer.step}
-
-
-def learn_all(docs: DataFrame, path: str, state: dict, rate: float = 3e-3) -> dict:
-    """Weights after one pass over all texts, each whole and in one of the rounds.
+# blocks ----------------------------------------------------------------------
+
+
+def numbered(texts: list[str], train: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, commonest first; their uses in training texts; the words of all texts by number; words by text."""
+    cut = [words(t) for t in texts]
+    lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+    ids = Numbers()
+    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(cut)), np.int32, int(lengths.sum()))
+    uses = np.bincount(flat, minlength=len(ids))
+    order = np.argsort(-uses, kind="stable")
+    rank = np.empty(len(ids), np.int32)
+    rank[order] = np.arange(len(ids), dtype=np.int32)
+    terms = list(ids)
+    flat = rank[flat]
+    return [terms[k] for k in order.tolist()], np.bincount(flat[np.repeat(train, lengths)], minlength=len(ids)), flat, lengths
+
+
+def _bag_rows(batches, n_buckets: int):
+    """Rows by bucket: (block, 0, distinct words with their numbers and uses) and (block, 1, the texts in numbers)."""
+    for name, others, texts in blocks(batches, BLOCK):
+        held = np.array([r["held_out"] for r in others], bool)
+        terms, uses, flat, lengths = numbered(texts, ~held)
+        bucket = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % n_buckets
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            own = order[a:z]
+            yield int(bucket[own[0]]), name, 0, pack(([terms[k] for k in own.tolist()], compact(own), compact(uses[own])))
+        yield zlib.crc32(name.encode()) % n_buckets, name, 1, pack(([r["doc_id"] for r in others], np.packbits(held), compact(lengths), planes(flat), len(terms), terms.index(END), len(cuts)))
+
+
+def _counted(path: str):
+    def run(t: pa.Table) -> pa.Table:
+        count: dict[bytes, int] = {}
+        rows = list(zip(*(t.column(i).to_pylist() for i in range(4)), strict=True))
+        here = rows[0][0]
+        for _, _, kind, payload in rows:
+            if not kind:
+                terms, _, uses = unpack(payload)
+                for w, c in zip(terms, uses.tolist(), strict=True):
+                    count[w] = count.get(w, 0) + c
+        every = list(count)
+        total = np.fromiter(count.values(), np.int64, len(every))
+        place = {w: k for k, w in enumerate(every)}
+        sizes, ids = [], []
+        for a in range(0, len(every), 20_000):
+            got = subwords(path, every[a : a + 20_000])
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint16, int(sizes[-1].sum())))
+        sizes, ids = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint16), *ids])
+        starts = np.cumsum(sizes) - sizes
+        out = []
+        for _, block, kind, payload in rows:
+            if kind:
+                out.append((here, block, kind, payload))
+                continue
+            terms, own, _ = unpack(payload)
+            k = np.fromiter(map(place.__getitem__, terms), np.int64, len(terms))
+            n = sizes[k]
+            flat = ids[np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            out.append((here, block, 0, pack((own, compact(total[k]), compact(n), flat))))
+        # training uses and kinds of words by first subword id; the end token stands after the ids
+        first = ids[starts].astype(np.int64) if len(every) else np.zeros(0, np.int64)
+        if END in place:
+            first[place[END]] = N_IDS
+        known = total > 0
+        at, inv = np.unique(first[known], return_inverse=True)
+        out.append((here, f"#{here}", 2, pack((at, np.bincount(inv, total[known], len(at)).astype(np.int64), np.bincount(inv, minlength=len(at))))))
+        release()
+        return pa.Table.from_batches(list(packed_batches(out)))
+
+    return run
+
+
+def _gathered(t: pa.Table) -> pa.Table:
+    """One row of a block with all that training and scoring need of it."""
+    block, meta, answers = t.column("block")[0].as_py(), None, []
+    for kind, payload in zip(t.column("kind").to_pylist(), t.column("payload").to_pylist(), strict=True):
+        if kind == 2:
+            return pa.table({"block": pa.array([block]), "kind": pa.array([2], pa.int32()), "payload": pa.array([payload], pa.binary())})
+        if kind:
+            meta = unpack(payload)
+        else:
+            answers.append(unpack(payload))
+    if meta is None or len(answers) != meta[6]:
+        raise RuntimeError("the input came in another order when a task was run again")
+    doc_ids, held, lengths, flat, n_terms, end, _ = meta
+    own = np.concatenate([a[0] for a in answers]).astype(np.int64)
+    count, sizes, ids = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64), np.concatenate([a[3] for a in answers])
+    count[own], sizes[own] = np.concatenate([a[1] for a in answers]), np.concatenate([a[2] for a in answers])
+    n = np.concatenate([a[2] for a in answers]).astype(np.int64)
+    starts = np.empty(n_terms, np.int64)
+    starts[own] = np.cumsum(n) - n
+    ids = ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    whole = pack((doc_ids, held, lengths, flat, compact(count), compact(sizes), ids, end))
+    release()
+    return pa.table({"block": pa.array([block]), "kind": pa.array([1], pa.int32()), "payload": pa.array([whole], pa.binary())})
+
+
+class Block:
+    """A gathered block: texts as numbers of words from 1, and what is known of these."""
+
+    def __init__(self, payload: bytes, classes: np.ndarray):
+        self.doc_ids, held, lengths, flat, count, sizes, ids, end = unpack(payload)
+        self.lengths, self.words = lengths.astype(np.int64), unplanes(flat).astype(np.int64) + 1
+        self.held = np.unpackbits(held, count=len(self.lengths)).astype(bool)
+        self.count, sizes, ids = count.astype(np.int64), sizes.astype(np.int64), ids.astype(np.int64)
+        own = classes[ids[np.cumsum(sizes) - sizes]]
+        own[end] = 0
+        self.bags = Bags(ids, sizes, own)
+
+
+def _payloads(batches):
+    for b in batches:
+        for x in b.column("payload"):
+            yield x.as_py()
+
+
+# training --------------------------------------------------------------------
+
+
+def learn_all(gathered: DataFrame, classes: np.ndarray, seed: int = 5, rate: float = RATE) -> dict:
+    """Weights after one pass over all training texts, each whole and in one of the rounds.
 
     Partitions begin a round with the same weights.  What they end it with is
-    averaged in chunks, dense weights by words and rows of the embedding by uses,
+    averaged in chunks, dense weights by places and rows of the embedding by uses,
     so rows that few partitions met are theirs.  Batches follow the partitions,
     so the last digits of the weights depend on how the input is cut.
     """
-    spark = docs.sparkSession
-    for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(pickle.dumps(state))  # of fixed size
-        now = rate * (1 - 0.8 * r / max(1, ROUNDS - 1))
+    spark = gathered.sparkSession
+    net = Attention(seed)
+    state = {"p": net.p, "s": {k: np.zeros_like(v) for k, v in net.p.items()}, "step": 0, "learnt": 0}
+    dense = [k for k in net.p if k != "emb"]
+    for r, parts in enumerate(ROUNDS):
+        shared = spark.sparkContext.broadcast(pickle.dumps((state, classes)))  # of fixed size
+        now = rate * (1 - 0.6 * r)
 
         def learn(batches, shared=shared, now=now):
-            own = pickle.loads(shared.value)
-            net, known = Attention(), Bags(Subwords(path, own["classes"]))
+            own, classes = pickle.loads(shared.value)
+            net = Attention()
             net.p = own["p"]
-            trainer = Trainer(net, own["squares"], own["step"])
-            for name, _, texts in blocks(batches):
-                trainer.texts(known, [words(t) for t in texts], now, np.random.default_rng(zlib.crc32(name.encode())), BATCH)
-            if not trainer.words:
+            trainer = Trainer(net, now, own["s"], own["step"])
+            for payload in _payloads(batches):
+                b = Block(payload, classes)
+                train = ~b.held
+                trainer.texts(b.bags, b.words[np.repeat(train, b.lengths)], b.lengths[train], np.random.default_rng(zlib.crc32(payload[:4096])))
+            release()
+            if not trainer.places:
                 return
-            part, rows = TaskContext.get().partitionId(), [(-1, {k: v for k, v in net.p.items() if k != "emb"}, trainer.words)]
+            part, rows = TaskContext.get().partitionId(), [(-1, ({k: (net.p[k], trainer.s[k]) for k in dense}, trainer.places, trainer.step))]
             for at in range(0, N_IDS, ROWS):
                 met = at + np.flatnonzero(trainer.uses[at : at + ROWS])
                 if len(met):
-                    rows.append((at // ROWS, (met, net.p["emb"][met]), trainer.uses[met]))
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([x[0] for x in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "payload": pa.array([pickle.dumps(x[1:], protocol=5) for x in rows], pa.binary())})
+                    rows.append((at // ROWS, (met, np.concatenate([net.p["emb"][met], trainer.s["emb"][met]], 1), trainer.uses[met])))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([x[0] for x in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "payload": pa.array([pickle.dumps(x[1], protocol=5) for x in rows], pa.binary())})
 
         def averaged(t: pa.Table) -> pa.Table:
             chunk = t.column("chunk")[0].as_py()
-            total = weight = None
+            total, weight, step = None, 0, 0
             for _, payload in sorted(zip(t.column("part").to_pylist(), t.column("payload").to_pylist(), strict=True)):
-                value, n = pickle.loads(payload)
                 if chunk < 0:
-                    total = {k: n * v.astype(float) + (total[k] if total else 0) for k, v in value.items()}
-                    weight = n + (weight or 0)
+                    value, n, at = pickle.loads(payload)
+                    total = {k: [n * x.astype(float) + (total[k][i] if total else 0) for i, x in enumerate(v)] for k, v in value.items()}
+                    weight, step = weight + n, max(step, at)
                 else:
+                    met, value, n = pickle.loads(payload)
                     if total is None:
-                        total, weight = np.zeros((ROWS, DIM)), np.zeros(ROWS)
-                    at = value[0] - chunk * ROWS
-                    total[at] += n[:, None] * value[1]
-                    weight[at] += n
+                        total, weight = np.zeros((ROWS, 2 * DIM)), np.zeros(ROWS)
+                    total[met - chunk * ROWS] += n[:, None] * value
+                    weight[met - chunk * ROWS] += n
             if chunk < 0:
-                out = {k: (v / weight).astype(np.float32) for k, v in total.items()}, weight
+                out = {k: [(x / weight).astype(np.float32) for x in v] for k, v in total.items()}, weight, step
             else:
                 at = np.flatnonzero(weight)
                 out = chunk * ROWS + at, (total[at] / weight[at, None]).astype(np.float32)
             return pa.table({"chunk": pa.array([chunk], pa.int32()), "payload": pa.array([pickle.dumps(out, protocol=5)], pa.binary())})
 
-        some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(ROUNDS)) == r).select("text")
+        some = gathered.where(F.col("kind") == 1).where(F.pmod(F.xxhash64("block"), F.lit(4)).isin(*parts)).select("payload")
         met = some.mapInArrow(learn, "chunk int, part int, payload binary").groupBy("chunk").applyInArrow(averaged, "chunk int, payload binary")
-        p, learnt = dict(state["p"]), 0
-        p["emb"] = p["emb"].copy()
+        p, s = ({k: v.copy() for k, v in state[x].items()} for x in "ps")
         for chunk, payload in met.collect():  # of fixed size: the weights
-            a, b = pickle.loads(bytes(payload))
+            got = pickle.loads(bytes(payload))
             if chunk < 0:
-                p, learnt = p | a, b
+                p |= {k: v[0] for k, v in got[0].items()}
+                s |= {k: v[1] for k, v in got[0].items()}
+                state |= {"step": got[2], "learnt": state["learnt"] + got[1]}
             else:
-                p["emb"][a] = b
-        state = state | {"p": p, "learnt": state.get("learnt", 0) + learnt}
+                p["emb"][got[0]], s["emb"][got[0]] = got[1][:, :DIM], got[1][:, DIM:]
+        state |= {"p": p, "s": s}
         shared.unpersist()
     return state
 
 
-def sample(docs: DataFrame) -> list:
-    """Texts of the training rows with the least hashes of their ids (a bounded number), for the first weights."""
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(SAMPLE_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").collect()
-    return [r[1] for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))]
+# the operator ----------------------------------------------------------------
 
 
-def lm_scores(df: DataFrame, tokenizer: str, held_out) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows where ``held_out`` is false are learnt from."""
-    docs = df.select("doc_id", "text", held_out.alias("held_out"))
-    n_buckets = fan_out(df)
-    spark = df.sparkSession
+def gather(df: DataFrame, tokenizer: str, held_out) -> DataFrame:
+    """(block, kind, payload): blocks of texts in numbers (kind 1) and counts by first subword id (kind 2), written as a table."""
+    docs = steady(df.select("doc_id", "text", held_out.alias("held_out")))
+    n_buckets = fan_out(df, bytes_each=32 << 20, factor=1)
 
-    # 1. words meet in buckets: exact counts, and each text's sum of log10(c + 0.5)
     def bags(batches):
-        def rows():
-            for name, others, texts in blocks(batches):
-                cut = [words(t) for t in texts]
-                train = np.array([not r["held_out"] for r in others])
-                for bucket, block, kind, payload in packed(name, cut, {"rows": [(r["doc_id"], r["held_out"]) for r in others], "n": [len(c) for c in cut], "key": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]}, n_buckets):
-                    yield bucket, block, kind, payload if kind else pack((payload, np.packbits(train)))
+        yield from packed_batches(_bag_rows(batches, n_buckets), 64)
+        release()
 
-        return packed_batches(rows())
+    met = docs.mapInArrow(bags, PACKED).groupBy("bucket").applyInArrow(_counted(tokenizer), PACKED)
+    return materialise(met.groupBy("block").applyInArrow(_gathered, "block string, kind int, payload binary"))
 
-    def counted(t: pa.Table) -> pa.Table:
-        count: dict[bytes, int] = {}
-        rows = list(zip(*(t.column(i).to_pylist() for i in range(4)), strict=True))
-        for _, _, kind, payload in rows:
-            if not kind:
-                bag, train = unpack(payload)
-                terms, sizes, docs_, counts, n = unpack(bag)
-                sums = np.add.reduceat(counts * np.unpackbits(train, count=n)[docs_].astype(np.int64), np.concatenate([[0], np.cumsum(sizes.astype(np.int64))[:-1]]))
-                for w, c in zip(terms, sums.tolist(), strict=True):
-                    count[w] = count.get(w, 0) + c
-        out = []
-        for bucket, block, kind, payload in rows:
-            if kind:
-                out.append((bucket, block, kind, payload))
-                continue
-            terms, sizes, docs_, counts, n = unpack(unpack(payload)[0])
-            c = np.repeat(np.fromiter(map(count.__getitem__, terms), np.int64, len(terms)), sizes)
-            out.append((bucket, block, 0, pack((np.bincount(docs_, weights=np.log10(c + 0.5) * counts, minlength=n), np.bincount(docs_, weights=counts * (c > 0), minlength=n).astype(np.int64)))))
-        # what the model needs of all words of this bucket: sums by first subword id; the end token stands after the ids
-        sub = Subwords(tokenizer)
-        uses, kinds = np.zeros(N_IDS + 1, np.int64), np.zeros(N_IDS + 1, np.int64)
-        known = [w for w, c in count.items() if c]
-        for a in range(0, len(known), 20_000):
-            part = known[a : a + 20_000]
-            for w, i in zip(part, sub.ids(part), strict=True):
-                at = N_IDS if w == END else i[0]
-                uses[at] += count[w]
-                kinds[at] += 1
-        out.append((rows[0][0], None, 2, pack((uses, kinds))))
-        return pa.Table.from_batches(list(packed_batches(out)))
 
-    met = materialise(docs.mapInArrow(bags, PACKED).groupBy("bucket").applyInArrow(counted, PACKED))
+def counts(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training uses and distinct words by first subword id, the end token after the ids; added up partition by partition."""
 
-    # 2. totals: one small row per bucket, added up in a tree; then the model
     def added(batches):
         uses, kinds = np.zeros(N_IDS + 1, np.int64), np.zeros(N_IDS + 1, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                u, k = unpack(x)
-                uses, kinds = uses + u, kinds + k
+        for x in _payloads(batches):
+            at, u, k = unpack(x)
+            uses[at] += u
+            kinds[at] += k
         yield pa.RecordBatch.from_pydict({"payload": pa.array([pack((uses, kinds))], pa.binary())})
 
     uses, kinds = np.zeros(N_IDS + 1, np.int64), np.zeros(N_IDS + 1, np.int64)
-    for (x,) in met.where("kind = 2").select("payload").mapInArrow(added, "payload binary").toLocalIterator():
+    for (x,) in gathered.where("kind = 2").select("payload").mapInArrow(added, "payload binary").toLocalIterator():
         u, k = unpack(bytes(x))
         uses, kinds = uses + u, kinds + k
-    total, distinct = int(uses.sum()), int(kinds.sum())
-    train = docs.where("not held_out").select("doc_id", "text")
-    state = learn_all(train, tokenizer, fit(sample(train), tokenizer, commonest(uses[:N_IDS])))
-    sub = Subwords(tokenizer, state["classes"])
-    mass = np.bincount([sub.class_of(b"", [i]) for i in range(N_IDS)], weights=uses[:N_IDS] + 0.5 * kinds[:N_IDS], minlength=CLASSES)
-    mass[0] += uses[N_IDS] + 0.5 * kinds[N_IDS]
-    bottom = total + 0.5 * (distinct + 1)
-    # each class has an unknown word of its own, with the weight of half a use
-    share = (mass + 0.5) / bottom
-    state = {"classes": state["classes"], "p": state["p"], "log_share": np.log(share)}
-    whole = spark.sparkContext.broadcast(pickle.dumps(state))
+    return uses, kinds
+
 
-    # 3. texts' parts of the base score
-    id_type = docs.schema["doc_id"].dataType
+def lm_scores(df: DataFrame, tokenizer: str, held_out) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows where ``held_out`` is false are learnt from."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    id_type = df.schema["doc_id"].dataType
     kind_of_id = to_arrow_type(id_type)
-
-    def based_rows(t: pa.Table) -> pa.Table:
-        meta, logs, known = None, 0.0, 0
-        rows = sorted(zip(t.column("bucket").to_pylist(), t.column("kind").to_pylist(), t.column("payload").to_pylist(), strict=True), key=lambda r: r[:2])
-        for _, kind, payload in rows:
-            if kind:
-                meta = unpack(payload)
-            else:
-                a, b = unpack(payload)
-                logs, known = logs + a, known + b
-        n = np.array(meta["n"], np.int64)
-        return pa.table({
-            "doc_id": pa.array([r[0] for r in meta["rows"]], kind_of_id), "held_out": pa.array([r[1] for r in meta["rows"]], pa.bool_()), "text_key": pa.array(meta["key"], pa.int64()),
-            "n_tokens": pa.array(n), "n_known": pa.array(known + np.zeros(len(n), np.int64), pa.int64()), "base_score": pa.array(logs - n * np.log10(bottom), pa.float64()),
-        })
-
-    base = met.where("kind < 2").groupBy("block").applyInArrow(based_rows, f"doc_id {id_type.simpleString()}, held_out boolean, text_key long, n_tokens long, n_known long, base_score double")
-
-    # 4. the model's part, text by text
-    def modelled(batches):
-        scorer = _scorer(tokenizer, whole.value)
-        for _, others, texts in blocks(batches):
-            gain = scorer.score([words(t) for t in texts])
-            yield pa.RecordBatch.from_pydict({"m_id": pa.array([r["doc_id"] for r in others], kind_of_id), "m_key": pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), "gain": pa.array(gain / LOG10, pa.float64())})
-
-    model = docs.select("doc_id", "text").mapInArrow(modelled, f"m_id {id_type.simpleString()}, m_key long, gain double")
-    model = model.groupBy("m_id", "m_key").agg(F.max("gain").alias("gain"))  # repeated rows meet once
-    out = base.join(model, base["doc_id"].eqNullSafe(model["m_id"]) & (base["text_key"] == model["m_key"]), "left")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    gathered = gather(df, tokenizer, held_out)
+    uses, kinds = counts(gathered)
+    total, distinct = int(uses.sum()), int(kinds.sum())
+    classes = class_table(uses[:N_IDS])
+    state = learn_all(gathered, classes)
+    mass = np.bincount(classes, weights=uses[:N_IDS] + 0.5 * kinds[:N_IDS], minlength=CLASSES)
+    mass[0] += uses[N_IDS] + 0.5 * kinds[N_IDS]
+    bottom = total + 0.5 * (distinct + 1)
+    # each class has an unknown word of its own, with the weight of half a use
+    log_share = np.log((mass + 0.5) / bottom)
+    whole = df.sparkSession.sparkContext.broadcast(pickle.dumps((state["p"], classes, log_share)))  # of fixed size
+
+    def scored(batches):
+        p, classes, log_share = pickle.loads(whole.value)
+        net = Attention()
+        net.p = p
+        for payload in _payloads(batches):
+            b = Block(payload, classes)
+            starts = np.cumsum(b.lengths) - b.lengths
+            own = b.words - 1
+            gain = net.scores(b.bags, b.words, b.lengths) - log_share[b.bags.classes[b.words]] if total else np.zeros(len(own))
+            base = np.add.reduceat(np.log10(b.count + 0.5)[own], starts) - b.lengths * np.log10(bottom)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(b.doc_ids, kind_of_id), "held_out": pa.array(b.held), "n_tokens": pa.array(b.lengths), "n_known": pa.array(np.add.reduceat((b.count > 0)[own].astype(np.int64), starts)),
+                "train_tokens": pa.array(np.full(len(b.lengths), total, np.int64)), "base_score": pa.array(base), "score": pa.array(base + np.add.reduceat(gain, starts) / LOG10),
+            })
+        release()
+
+    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return gathered.where("kind = 1").select("payload").mapInArrow(scored, schema)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
