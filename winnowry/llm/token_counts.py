@@ -7,7 +7,7 @@ joined to the frequencies by their common key, and one vector of sums per block
 No id sequence is ever built.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are kept
-one for one (repeated and null ids too); extra columns are ignored; an empty
+one for one (repeated and null ids too); other columns are ignored; an empty
 table gives an empty result.  ``<|endoftext|>`` inside a text counts as the one
 special token the library makes of it.
 """
@@ -23,15 +23,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import PACKED, blocks, pack, packed, packed_batches, spread, unpack
-from .common import fan_out, table
+from .blocks import PACKED, blocks, pack, packed, packed_batches, release, spread, unpack
+from .common import fan_out, steady, table
 
 #: The pattern of byte-level pre-tokens, as the library has it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in every Unicode version.
 STABLE = r"[\t\n\r\x20-\x7e¡-¬®-įı-ƿ‐-‧‰-⁞€]*+"
 #: Distinct pre-tokens a task remembers; beyond it starts anew, which only repeats work.
-REMEMBERED = 1_500_000
+REMEMBERED = 300_000
 
 
 @functools.lru_cache(2)
@@ -58,8 +58,8 @@ def pretokens(path: str, text: str) -> tuple[list[str], int]:
 
 def token_counts(df: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", n_buckets: int | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row; ``tokenizer``: path of a byte-level BPE .json."""
-    n_buckets = n_buckets or fan_out(df, factor=2)
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n_buckets = n_buckets or fan_out(df, bytes_each=32 << 20, factor=1)
+    docs = steady(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")))
     id_type = docs.schema["id"].dataType
 
     def bags(batches):
@@ -69,7 +69,8 @@ def token_counts(df: DataFrame, tokenizer: str, text_col: str = "text", id_col:
                 meta = {"id": [r["id"] for r in others], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "special": np.array([n for _, n in cut])}
                 yield from packed(name, [c for c, _ in cut], meta, n_buckets)
 
-        return packed_batches(rows())
+        yield from packed_batches(rows())
+        release()
 
     def counted(batches):
         known: dict[str, int] = {}
@@ -87,7 +88,8 @@ def token_counts(df: DataFrame, tokenizer: str, text_col: str = "text", id_col:
                 for bucket, block, kind, payload in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                     yield (bucket, block, kind, payload) if kind else (bucket, block, 0, pack(spread(pieces, payload).astype(np.int32)))
 
-        return packed_batches(rows())
+        yield from packed_batches(rows())
+        release()
 
     def summed(t: pa.Table) -> pa.Table:
         meta, total = None, 0
