@@ -18,7 +18,10 @@ Native: DataFrame functions only.
 Defined results: null texts and roles are empty; a message whose parent is
 absent is a root; messages on or under a cycle have no root and are in no
 path; equal scores rank by leaf id; messages of trees named null are one tree;
-extra columns are ignored.
+messages without a name of their own (null node) are left out; a message given
+more than once counts once, with its least parent, its largest score and its
+least turn; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -50,19 +53,36 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("&#10;"), F.lit("\n")))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): for each leaf its ancestors, itself with up = 0.
-
-    nodes: (tree, node, parent), node unique within its tree.
-    """
-    n = nodes.select("tree", "node", "parent")
+def linked_of(nodes: DataFrame) -> DataFrame:
+    """(tree, node, jump, s): the present parent of each message, and its score."""
+    n = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))
     p = n.select(F.col("tree").alias("t"), F.col("node").alias("at"))
-    linked = n.join(p, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("at")), "left").select("tree", "node", F.col("at").alias("jump"))
-    linked = materialise(linked)
+    return materialise(n.join(p, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("at")), "left").select("tree", "node", F.col("at").alias("jump"), "s"))
+
+
+def leaves_of(linked: DataFrame) -> DataFrame:
     inner = linked.where("jump is not null").select(F.col("tree").alias("t"), F.col("jump").alias("j")).distinct()
-    leaves = linked.join(inner, linked["tree"].eqNullSafe(inner["t"]) & (linked["node"] == inner["j"]), "left_anti")
-    found = materialise(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    jump, held = linked.where("jump is not null"), linked
+    return linked.join(inner, linked["tree"].eqNullSafe(inner["t"]) & (linked["node"] == inner["j"]), "left_anti").select("tree", F.col("node").alias("leaf"))
+
+
+def totals(linked: DataFrame) -> DataFrame:
+    """(tree, node, total): the sum of scores from each message up to its root, by pointers that jump twice as far each round; one row a message throughout."""
+    largest = linked.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
+    now, step = linked, 1
+    while step <= largest and not now.where("jump is not null").isEmpty():
+        up = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("further"), F.col("s").alias("more"))
+        before, both = now, now.join(up, now["tree"].eqNullSafe(up["t"]) & (now["jump"] == up["n"]), "left")
+        now = materialise(both.select("tree", "node", F.col("further").alias("jump"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s")))
+        if before is not linked:
+            discard(before)
+        step *= 2
+    return now.where("jump is null").select("tree", "node", F.col("s").alias("total"))  # the rest hangs on cycles
+
+
+def paths(linked: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): for each of the leaves its ancestors, itself with up = 0."""
+    found = materialise(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
+    jump, held = linked.where("jump is not null").select("tree", "node", "jump"), None
     largest = linked.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
     step = 1
     while step <= largest and not jump.isEmpty():
@@ -71,7 +91,8 @@ def paths(nodes: DataFrame) -> DataFrame:
         a, b = jump.alias("a"), jump.alias("b")
         further = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.jump") == F.col("b.node"))).select("a.tree", "a.node", "b.jump")
         found, jump = found.unionByName(materialise(more)), materialise(further)  # each path row is written once
-        discard(held)
+        if held is not None:
+            discard(held)
         held = jump
         step *= 2
     if not jump.isEmpty():  # only a cycle still has pointers now: drop leaves that hang on one
@@ -81,14 +102,23 @@ def paths(nodes: DataFrame) -> DataFrame:
 
 
 def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
-    """Paths of the ``top`` branches (all if None) of each tree by the sum of their scores: adds score and rank."""
-    score = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))
-    p = paths(nodes)
-    p = p.join(score, p["tree"].eqNullSafe(score["t"]) & (p["node"] == score["n"])).select("tree", "leaf", "node", "up", "s")
-    total = p.groupBy("tree", "leaf").agg(F.sum("s").alias("branch_score"))
-    ranked = total.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")))
+    """Paths of the ``top`` branches (all if None) of each tree by the sum of their scores: adds score and rank.
+
+    With ``top`` sums come first, one row a message, and only chosen branches are enumerated.
+    """
+    linked = linked_of(nodes)
+    leaves = leaves_of(linked)
+    ranking = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
     if top is not None:
-        ranked = ranked.where(F.col("rank") <= top)
+        up = totals(linked).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("total").alias("branch_score"))
+        ranked = leaves.join(up, leaves["tree"].eqNullSafe(up["t"]) & (leaves["leaf"] == up["n"])).select("tree", "leaf", "branch_score")
+        ranked = materialise(ranked.withColumn("rank", ranking).where(F.col("rank") <= top))
+        p = paths(linked, ranked)
+    else:
+        score = linked.select(F.col("tree").alias("t"), F.col("node").alias("n"), "s")
+        p = paths(linked, leaves)
+        p = p.join(score, p["tree"].eqNullSafe(score["t"]) & (p["node"] == score["n"])).select("tree", "leaf", "node", "up", "s")
+        ranked = p.groupBy("tree", "leaf").agg(F.sum("s").alias("branch_score")).withColumn("rank", ranking)
     r = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "branch_score", "rank")
     return p.join(r, p["tree"].eqNullSafe(r["t"]) & (p["leaf"] == r["l"])).select("tree", "leaf", "node", "up", "branch_score", "rank")
 
@@ -97,9 +127,13 @@ def chat_format(nodes: DataFrame, top: int | None = None, trained_role: str = "a
     """(tree, leaf, rank, branch_score, n_turns, formatted, loss_spans): one row per chosen branch.
 
     nodes: (tree, node, parent, role, text, score).  Spans are (start, length) in code points.
-    links: the first three columns and the score of nodes, where a cheaper plan gives them.
+    links: the first three columns and the score of nodes, where a cheaper plan gives them; its messages are given once each.
     """
-    slim = materialise((nodes if links is None else links).select("tree", "node", "parent", "score"))
+    once = links is not None
+    if not once:
+        nodes = nodes.where(F.col("node").isNotNull())
+        links = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
+    slim = materialise(links.select("tree", "node", "parent", "score"))
     p = branches(slim, top)
     spoken = F.struct(F.concat(F.lit(OPEN), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n")).alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), F.coalesce(F.col("role") == trained_role, F.lit(False)).alias("loss"))
     text = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), spoken.alias("turn"))
@@ -113,9 +147,15 @@ def chat_format(nodes: DataFrame, top: int | None = None, trained_role: str = "a
         near = near.join(large, F.col("tree") == F.col("big"), "left_anti")
         said = said.join(large, F.col("t") == F.col("big"), "left_anti")
     near = near.groupBy("tree", "leaf", "rank", "branch_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "node"))).alias("path"))
-    said = said.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("n", "turn"))).alias("said"))
+    each = F.collect_list(F.struct("n", "turn"))
+    said = said.groupBy("t").agg((each if once else F.array_sort(each)).alias("each"))
+    if not once:  # of a message given more than once, the least turn
+        said = said.withColumn("each", F.filter("each", lambda x, i: (i == 0) | (F.get(F.col("each"), i - 1)["n"] != x["n"])))
+    said = said.select("t", F.map_from_entries("each").alias("said"))
     conv = near.join(said, F.col("tree") == F.col("t")).select("tree", "leaf", "rank", "branch_score", F.transform("path", lambda x: F.col("said")[x["node"]]).alias("turns"))
     if n_large:
+        if not once:
+            text = text.groupBy("t", "n").agg(F.min("turn").alias("turn"))
         far, said = p.join(large, F.col("tree").eqNullSafe(F.col("big")), "left_semi"), text.join(large, F.col("t").eqNullSafe(F.col("big")), "left_semi")
         rows = far.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
         rows = rows.groupBy("tree", "leaf", "rank", "branch_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn"))).alias("turns"))
