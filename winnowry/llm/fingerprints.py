@@ -9,7 +9,10 @@ Native: DataFrame functions only.
 
 Defined results: a text with 1 to 4 words has its whole word sequence as one
 shingle; null, empty and blank texts have the empty sketch, alike (1.0) to each
-other and unlike (0.0) all else; equal texts have equal fingerprints.
+other and unlike (0.0) all else; equal texts have equal fingerprints.  In the order
+of ids null ones come first, and rows of equal ids follow by their texts; a single
+row is followed by itself; rows are kept one for one, repeated ones too; other
+columns, whatever their names, are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .common import SPACES, fan_out, table
+from .common import SPACES, fan_out, free, table
 
 K = 128
 SHINGLE = 5
@@ -76,43 +80,62 @@ def decoded(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(hex_, lambda h: F.conv(h, 16, -10).cast("bigint")))
 
 
-def with_next(df: DataFrame, key: str, cols: list[str], n_parts: int) -> DataFrame:
+def _place(key: Column, kind) -> Column:
+    """A number that never falls when the key rises: the key itself, or the first 7 bytes of other kinds as text."""
+    if isinstance(kind, T.NumericType):
+        return key.cast("double") if isinstance(kind, (T.DecimalType, T.FractionalType)) else key.cast("long")
+    return F.conv(F.rpad(F.hex(F.substring(key.cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+#: Most key ranges; each bound is some 10 bytes of the plan.
+RANGES = 100_000
+
+
+def with_next(df: DataFrame, key: str, cols: list[str], n_parts: int, made: dict[str, Column] | None = None) -> DataFrame:
     """Adds next_<col> from the following row in ascending order of ``key`` (the last is followed by the first), without sorting all rows in one task.
 
     Rows are dealt to key ranges; within one a window looks ahead, and its last
-    row takes the first row of the next range that has any.
+    row takes the first row of the next range that has any.  ``made``: columns
+    worked out once a row and looked ahead for too.  Columns of the input named
+    next_<col> give way.
     """
-    cuts = df.agg(F.percentile_approx(key, [i / n_parts for i in range(1, n_parts)], 100 * n_parts)).first()[0] or [] if n_parts > 1 else []  # as many numbers as ranges
-    cuts = sorted(set(cuts))
-    at = F.lit(0)
+    made = made or {}
+    n_parts = min(n_parts, RANGES)
+    at, place = F.lit(0), _place(F.col(key), df.schema[key].dataType)
+    shares = [i / n_parts for i in range(1, n_parts)]
+    cuts = sorted(set(df.agg(F.percentile_approx(place, shares, min(100 * n_parts, 1_000_000))).first()[0] or [])) if shares else []  # as many numbers as ranges
     if cuts:
-        listed = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
+        listed = F.transform(F.split(F.lit(",".join(map(str, cuts))), ","), lambda x: x.cast("double" if isinstance(cuts[0], float) else "long"))  # one literal
         # the number of cuts under the key, by halving
-        steps = max(1, len(cuts).bit_length())
         at = F.aggregate(
-            F.sequence(F.lit(1), F.lit(steps)),
+            F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length()))),
             F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("z")),
-            lambda acc, _: let(F.floor((acc["a"] + acc["z"]) / 2).cast("int"), lambda m: F.when(acc["a"] >= acc["z"], acc).when(F.get(listed, m) < F.col(key), F.struct((m + 1).alias("a"), acc["z"].alias("z"))).otherwise(F.struct(acc["a"].alias("a"), m.alias("z")))),
+            lambda acc, _: let(F.floor((acc["a"] + acc["z"]) / 2).cast("int"), lambda m: F.when(acc["a"] >= acc["z"], acc).when(F.get(listed, m) < place, F.struct((m + 1).alias("a"), acc["z"].alias("z"))).otherwise(F.struct(acc["a"].alias("a"), m.alias("z")))),
             lambda acc: acc["a"],
         )
-        at = F.when(F.col(key).isNull(), F.lit(0)).otherwise(at)
-    ranged = df.withColumn("_range", at)
-    order = [F.col(key).asc_nulls_first(), *[F.col(c) for c in cols]]
-    w = W.partitionBy("_range").orderBy(*order)
-    inner = ranged.withColumn("_next", F.lead(F.struct(*cols)).over(w))
-    # the first row of each range: one row per range
-    first = ranged.groupBy("_range").agg(F.min_by(F.struct(*cols), F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), *cols)).alias("_first"))
-    ranges = W.orderBy("_range")
-    edge = first.withColumn("_follow", F.coalesce(F.lead("_first").over(ranges), F.first("_first").over(ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).select(F.col("_range").alias("_r"), "_follow")
-    out = inner.join(edge, F.col("_range") == F.col("_r"))
-    nxt = F.coalesce("_next", "_follow")
-    return out.select(*df.columns, *[nxt[c].alias(f"next_{c}") for c in cols])
+        at = F.when(place.isNull(), F.lit(0)).otherwise(at)
+    r, nxt, follow, of = (free(df, x) for x in ("range", "following", "follow", "of_range"))
+    ranged = df.withColumn(r, at)
+    seen = F.struct(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{c}`") for c in made])
+    order = [F.col(f"`{key}`").asc_nulls_first(), *[F.col(f"`{c}`") for c in cols]]
+    inner = ranged.withColumns(made).withColumn(nxt, F.lead(seen).over(W.partitionBy(r).orderBy(*order)))
+    # the first row of each range: least keys first, then whole rows of these only
+    mark = F.struct(F.col(f"`{key}`").isNotNull().alias("k"), F.col(f"`{key}`").alias("v"))
+    least = ranged.groupBy(F.col(r).alias(of)).agg(F.min(mark).alias(follow))
+    edge = ranged.join(least, (F.col(r) == F.col(of)) & F.col(f"`{key}`").eqNullSafe(F.col(follow)["v"]), "left_semi").withColumns(made)
+    edge = edge.groupBy(F.col(r).alias(of)).agg(F.min(seen).alias("first"))
+    ranges = W.orderBy(of)
+    edge = edge.select(of, F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias(follow))
+    out = inner.join(edge, F.col(r) == F.col(of))
+    found = F.coalesce(F.col(nxt), F.col(follow))
+    ahead = {f"next_{c}" for c in (*cols, *made)}
+    return out.select(*[F.col(f"`{c}`") for c in (*df.columns, *made) if c not in ahead], *[found[c].alias(f"next_{c}") for c in (*cols, *made)])
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike these are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("sk", sketch(F.col("text"))), "doc_id", ["text", "sk"], fan_out(docs, factor=1))
+    rows = with_next(docs, "doc_id", ["text"], fan_out(docs, 16 << 20, factor=1), {"sk": sketch(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
