@@ -9,7 +9,8 @@ worked out once.  The sorted list of words is that trie in depth-first order:
 the common prefix of neighbours is the part of the stack that stays.
 
 Defined results: null texts are as empty ones, with no ids and an empty decoded
-text; rows are kept one for one; extra columns are ignored; special strings
+text; rows are kept one for one, repeated ones too; an empty table gives an empty
+result; other columns are returned as they are; special strings
 inside texts become their special tokens, as in the library.
 """
 

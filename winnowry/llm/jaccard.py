@@ -58,6 +58,7 @@ PIVOTS = 256
 MOST_PIVOTS = 2_048
 BLOOM_BITS = 26
 SUBPARTS = 4
+SALTS = 16
 SLACK = 1.2
 REMEMBERED = 200_000
 #: Bytes of text whose sets and signatures are held at once.
@@ -400,8 +401,12 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, cluster_set
     else:
         nodes = nodes.select("node", "least", F.col("node").alias("root"))
     nodes = materialise(nodes)
-    roots = nodes.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    named = nodes.join(roots, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id")
+    # a cluster may hold a large part of all nodes, so its name goes to its members by SALTS keys; nodes by themselves need none
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")).where("members > 1")
+    roots = roots.select(F.col("root").alias("r"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    named = nodes.withColumn("salt", salt).join(roots, (F.col("root") == F.col("r")) & (F.col("salt") == F.col("s")), "left")
+    named = named.select(F.col("node").alias("k"), F.when(F.col("r").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     out = rows.join(named, F.col("node") == F.col("k"), "left")
     return out.select("doc_id", "n_shingles", "node", "row_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

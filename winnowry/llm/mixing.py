@@ -82,7 +82,9 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def hashed(id_col: str, text_col: str, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - BITS)
+    """BITS bits of a row's md5; nulls count as a character that stands for them."""
+    told = F.concat_ws("\x01", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (id_col, text_col)])
+    return F.shiftright(F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("long"), 32 - BITS)
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -13,7 +13,41 @@ from .toxicity import op8_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_jaccard, op4_html_text, op5_quality, op6_chat, op7_fingerprints, op8_toxicity, op9_bpe, op10_lm_scores)}
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
 ORACLES = {
+    "op2_mixing": rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('17' || chr(1) || coalesce(doc_id::VARCHAR, chr(0)) || chr(1) || coalesce(text, chr(0))), 1, 8))::BIGINT >> 2 AS hash
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+v AS (
+  SELECT *, (least(1.5::DOUBLE * sum(source_size) OVER (), sum(cap) OVER ()) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+f AS (SELECT arg_min(level, cap / weight) AS level FROM v WHERE cap > level * weight),
+t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT level FROM f) * weight, cap)) END AS target FROM v),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+h AS (SELECT *, target - whole * source_size AS goal FROM g),
+b AS (SELECT source, hash, sum(size) AS words FROM d GROUP BY ALL),
+r AS (SELECT source, hash, words, sum(words) OVER (PARTITION BY source ORDER BY hash) - words AS start FROM b),
+m AS (SELECT h.source, max(hash) AS low, arg_max(start, hash) AS have, arg_max(words, hash) AS words, any_value(goal) AS goal
+      FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source WHERE goal > 0 AND start < goal GROUP BY h.source),
+c AS (SELECT source, CASE WHEN abs(have + words - goal) <= abs(have - goal) THEN low + 1 ELSE low END AS cut FROM m)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN hash < coalesce(cut, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+""",
+    "op3_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+u AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT doc_id, count(s) AS n_shingles FROM d LEFT JOIN u USING (doc_id) GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM u x JOIN u y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n_shingles + nb.n_shingles - c)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.reached FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, any_value(n_shingles) AS n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id
+""",
     "op6_chat": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
