@@ -19,7 +19,7 @@ CLASSES = 128
 DIM = 16
 HIDDEN = 32
 WINDOW = 32
-STRIDE = 24
+STRIDE = 28
 BATCH = 32
 #: Places worked on together: bounds memory, and how long embeddings wait for their step.
 GROUP = 15_000
@@ -55,8 +55,18 @@ def inputs_of(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Rows of values added up by their places at (all of 0..n-1 occur)."""
+    at = at.astype(np.uint16) if n <= 1 << 16 else at  # sorted by radix
     order = np.argsort(at, kind="stable")
-    return np.add.reduceat(values[order], np.searchsorted(at[order], np.arange(n)), 0)
+    return np.add.reduceat(values[order], np.searchsorted(at[order], np.arange(n, dtype=at.dtype)), 0)
+
+
+def _renumbered(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in x, all under top, how often each occurs, and x by their places."""
+    count = np.bincount(x, minlength=top)
+    used = np.flatnonzero(count)
+    place = np.empty(top, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    return used, count[used], place[x]
 
 
 class Bags:
@@ -68,10 +78,21 @@ class Bags:
         #: class by word, 0 standing for the start
         self.classes = np.concatenate([[0], classes])
 
-    def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        """Inputs of all words, the start first."""
-        mean = np.add.reduceat(p["emb"][self.ids], self.starts, 0) / self.sizes[:, None].astype(F32) if len(self.sizes) else np.zeros((0, DIM), F32)
-        return np.concatenate([p["start"][None], mean])
+    def own(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Subword ids of some words, not the start, end to end: ids, where each word's begin, and how many it has."""
+        n = self.sizes[words - 1]
+        first = np.cumsum(n) - n
+        return self.ids[np.repeat(self.starts[words - 1] - first, n) + np.arange(n.sum())], first, n
+
+    def vectors(self, p: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
+        """Inputs of some distinct words in rising order; only the first may be the start."""
+        out = np.empty((len(words), DIM), F32)
+        begins = int(len(words) > 0 and words[0] == 0)
+        out[:begins] = p["start"]
+        if len(words) > begins:
+            ids, first, n = self.own(words[begins:])
+            out[begins:] = np.add.reduceat(p["emb"][ids], first, 0) / n[:, None].astype(F32)
+        return out
 
 
 class Attention:
@@ -85,7 +106,7 @@ class Attention:
         lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
         self.lag, self.mask = np.maximum(lag, 0), np.where(lag < 0, F32(-1e9), F32(0))
 
-    def look(self, x: np.ndarray, q: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look(self, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Attention weights of windows (windows, places, places) and what they find; x: inputs, q: x @ qk.
 
         Places that stand for nothing come after the real ones, where the mask hides them.
@@ -105,19 +126,19 @@ class Attention:
     def scores(self, bags: Bags, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """ln P(class of the word | words before it in its window) at each place of texts; words count from 1."""
         p = self.p
-        vec = bags.vectors(p)
-        asks, own = vec @ p["qk"], vec @ p["own"] + p["b"]  # once for each word, not for each place
         out = np.empty(len(words), F32)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
         for a, z in groups(lengths):
-            first = int(lengths[:a].sum())
-            w = words[first : first + int(lengths[a:z].sum())]
-            inputs, target = inputs_of(w, lengths[a:z]), bags.classes[w]
+            w = words[ends[a] : ends[z]]
+            used, _, inputs = _renumbered(inputs_of(w, lengths[a:z]), len(bags.classes))
+            target = bags.classes[w]
+            vec = bags.vectors(p, used)
+            asks, own = vec @ p["qk"], vec @ p["own"] + p["b"]  # once for each word, not for each place
             place, real, scored = grid(lengths[a:z], STRIDE)
             for k in range(0, len(place), BATCH):
                 s, at = scored[k : k + BATCH], place[k : k + BATCH]
                 num = inputs[at]
-                x = vec[num]
-                _, c = self.look(x, asks[num], real[k : k + BATCH])
+                _, c = self.look(vec[num], asks[num])
                 h = c[s] @ p["seen"]
                 h += own[num[s]]
                 np.maximum(h, 0, out=h)
@@ -125,7 +146,7 @@ class Attention:
                 mine = at[s]
                 chosen = lg[np.arange(len(lg)), target[mine]]
                 np.exp(lg, out=lg)
-                out[first + mine] = chosen - np.log(lg.sum(1))
+                out[ends[a] + mine] = chosen - np.log(lg.sum(1))
         return out
 
 
@@ -166,33 +187,32 @@ class Trainer:
         self.net.p["emb"][rows] -= F32(8 * self.rate) * grad / (np.sqrt(s) + F32(1e-6))
 
     def batch(self, x: np.ndarray, real: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """One step on windows whose real places all count; the gradient by input."""
+        """One step on windows whose real places all count (target: by window and place); the gradient by input."""
         net, p = self.net, self.net.p
         self.step += 1
         flat = lambda t: t.reshape(-1, t.shape[-1])
         q = x @ p["qk"]
-        a, c = net.look(x, q, real)
-        xr, cr = x[real], c[real]
-        h = xr @ p["own"]
-        h += cr @ p["seen"]
+        a, c = net.look(x, q)
+        xf, cf, real, target = flat(x), flat(c), real.ravel(), target.ravel()
+        h = xf @ p["own"]
+        h += cf @ p["seen"]
         h += p["b"]
         np.maximum(h, 0, out=h)
         pr = net.logits(h)
-        rows = np.arange(len(pr))
+        rows, n = np.arange(len(pr)), int(real.sum())
         chosen = pr[rows, target]
         np.exp(pr, out=pr)
-        total = pr.sum(1, keepdims=True)
-        self.loss += float((np.log(total[:, 0]) - chosen).sum())
-        self.places += len(pr)
-        pr /= total
-        pr[rows, target] -= 1
-        pr *= F32(1 / len(pr))
+        total = pr.sum(1)
+        self.loss += float((np.log(total) - chosen)[real].sum())
+        self.places += n
+        share = real * F32(1 / max(1, n))  # places that stand for nothing count for nothing
+        pr *= (share / total)[:, None]
+        pr[rows, target] -= share
         by = {"out": h.T @ pr, "bo": pr.sum(0)}
         gh = pr @ p["out"].T
         gh *= h > 0
-        by |= {"own": xr.T @ gh, "seen": cr.T @ gh, "b": gh.sum(0)}
-        gx, gc = np.zeros_like(x), np.zeros_like(x)
-        gx[real], gc[real] = gh @ p["own"].T, gh @ p["seen"].T
+        by |= {"own": xf.T @ gh, "seen": cf.T @ gh, "b": gh.sum(0)}
+        gx, gc = (gh @ p["own"].T).reshape(x.shape), (gh @ p["seen"].T).reshape(x.shape)
         ga = gc @ x.transpose(0, 2, 1)
         gx += a.transpose(0, 2, 1) @ gc
         ga *= a
@@ -201,7 +221,7 @@ class Trainer:
         gq = ga @ x
         gx += ga.transpose(0, 2, 1) @ q
         gx += gq @ p["qk"].T
-        by["qk"] = flat(x).T @ flat(gq)
+        by["qk"] = xf.T @ flat(gq)
         for key, grad in by.items():
             self._dense(key, grad)
         return gx
@@ -211,32 +231,23 @@ class Trainer:
         ends = np.concatenate([[0], np.cumsum(lengths)])
         for a, z in groups(lengths):
             w = words[ends[a] : ends[z]]
-            inputs = inputs_of(w, lengths[a:z])
+            used, _, inputs = _renumbered(inputs_of(w, lengths[a:z]), len(bags.classes))
             place, real, _ = grid(lengths[a:z], WINDOW)
             target = bags.classes[w]
-            used, local = np.unique(inputs, return_inverse=True)
-            n = np.where(used > 0, bags.sizes[np.maximum(used, 1) - 1], 0)
-            starts = bags.starts[np.maximum(used, 1) - 1]
-            own = bags.ids[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
-            p = self.net.p
-            vec = np.empty((len(used), DIM), F32)
-            begins = used[0] == 0  # the start comes first if at all
-            if begins:
-                vec[0] = p["start"]
-            if len(own):
-                vec[int(begins) :] = np.add.reduceat(p["emb"][own], (np.cumsum(n) - n)[int(begins) :], 0) / n[int(begins) :, None].astype(F32)
+            vec = bags.vectors(self.net.p, used)
             grads = np.zeros((len(w), DIM), F32)
             order = rng.permutation(len(place))
             for k in range(0, len(order), BATCH):
                 b = np.sort(order[k : k + BATCH])
                 r, at = real[b], place[b]
-                gx = self.batch(vec[local[at]], r, target[at[r]])
+                gx = self.batch(vec[inputs[at]], r, target[at])
                 grads[at[r]] = gx[r]
-            by_word = _sums(grads, local, len(used))
+            by_word = _sums(grads, inputs, len(used))
+            begins = int(len(used) > 0 and used[0] == 0)
             if begins:
                 self._dense("start", by_word[0])
-            if len(own):
-                rows, inv, count = np.unique(own, return_inverse=True, return_counts=True)
-                each = np.repeat(by_word / np.maximum(n, 1)[:, None].astype(F32), n, axis=0)
-                self._embeddings(rows, _sums(each, inv, len(rows)))
+            if len(used) > begins:
+                ids, _, n = bags.own(used[begins:])
+                rows, count, at = _renumbered(ids, len(self.uses))
+                self._embeddings(rows, _sums(np.repeat(by_word[begins:] / n[:, None].astype(F32), n, axis=0), at, len(rows)))
                 self.uses[rows] += count
