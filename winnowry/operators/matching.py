@@ -30,17 +30,13 @@ def excluded(fp: DataFrame, submissions: DataFrame, p: Params) -> DataFrame:
 def filtered(fp: DataFrame, submissions: DataFrame, p: Params, starter: DataFrame | None = None) -> DataFrame:
     """Fingerprints without excluded and starter hashes.
 
-    Frequencies are windows over the hash, so exclusion and the join on hashes
-    share one partitioning; an anti join would shuffle both sides.
+    Frequencies come from partial counts, so the rows of a very common hash never
+    meet in one task; what is left out then is a small set of hashes.
     """
-    hot = W.partitionBy(*HASH)
-    first = F.row_number().over(W.partitionBy(*HASH, "sub_id").orderBy("pos"))
-    d = fp.withColumn("one", F.when(first == 1, 1).otherwise(0)).withColumn("df", F.sum("one").over(hot))
-    d = d.join(group_sizes(submissions), "grp").where((F.col("df") / F.col("n_subs") <= p.max_freq) & (F.col("df") <= p.corpus_cap))
-    d = d.select("grp", "sub_id", "h1", "h2", "pos")
+    d = fp.join(excluded(fp, submissions, p), HASH, "left_anti")
     if starter is not None:
-        d = d.join(starter.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").select("grp", "sub_id", "h1", "h2", "pos")
-    return d
+        d = d.join(starter.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
+    return d.select("grp", "sub_id", "h1", "h2", "pos")
 
 
 def inverted_index(fp: DataFrame) -> DataFrame:

@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import matching as M
 from ..operators.fingerprint import fingerprints, kgram_hashes
-from ..operators.lexers import lex_prose, prose_ids
+from ..operators.lexers import lex_cpp, lex_prose, lex_python, prose_ids
 from ..params import BASES, MODULI, Params
+from ..vocab import IDS
 from . import report as R
-from .analysis import analyze
+from .analysis import analyze, beside
 
 P = Params(k=8)
+#: A cap and a share that some hashes of the tables exceed, and the short windows that lines of talk need.
+CAPPED = Params(k=8, corpus_cap=3)
+RARE = Params(k=8, max_freq=0.02)
+SHORT = Params(k=3, w=2, min_shared=2)
+#: Two numbers under 2^31 make one id.
+WIDE = 1 << 32
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,7 +43,7 @@ def pages(spark, sf):
 
 
 def talks(spark, sf):
-    return _t(spark, sf, "conversations").select(F.col("role").alias("grp"), (F.col("conv_id") * 1000 + F.col("turn")).alias("sub_id"), F.coalesce("text", F.lit("")).alias("source"))
+    return _t(spark, sf, "conversations").select(F.col("role").alias("grp"), (F.col("conv_id") * WIDE + F.col("turn")).alias("sub_id"), F.coalesce("text", F.lit("")).alias("source"))
 
 
 def _run(spark, sf, of=docs, starter=True, params=P):
@@ -52,7 +59,7 @@ def _fp(spark, sf, of=docs, p=P):
 DOCS = "SELECT lang AS grp, doc_id AS sub_id, text AS source FROM documents"
 ITEMS = "SELECT 'item' AS grp, item_id AS sub_id, text AS source FROM benchmark"
 PAGES = "SELECT 'page' AS grp, page_id AS sub_id, html AS source FROM pages"
-TALKS = "SELECT role AS grp, conv_id * 1000 + turn AS sub_id, coalesce(text, '') AS source FROM conversations"
+TALKS = f"SELECT role AS grp, conv_id * {WIDE} + turn AS sub_id, coalesce(text, '') AS source FROM conversations"
 
 
 def _fp_sql(x: str, src: str, p: Params = P) -> str:
@@ -139,7 +146,7 @@ def winnowed(spark, sf):
 @query(PLAIN + " SELECT (SELECT count(*) FROM fp) / (SELECT count(*) FROM fp_g) AS density")
 def winnow_density(spark, sf):
     g = kgram_hashes(prose_ids(docs(spark, sf)), P.k).agg(F.count("*").alias("g"))
-    return _fp(spark, sf).agg(F.count("*").alias("f")).crossJoin(g).select((F.col("f") / F.col("g")).alias("density"))
+    return beside(_fp(spark, sf).agg(F.count("*").alias("f")), g).select((F.col("f") / F.col("g")).alias("density"))
 
 
 @query(WITH + " SELECT grp, h1, h2, df FROM df")
@@ -147,14 +154,19 @@ def doc_freq(spark, sf):
     return M.doc_freq(_fp(spark, sf))
 
 
-@query(WITH + " SELECT grp, h1, h2 FROM df ANTI JOIN ok USING (grp, h1, h2)")
+@query("WITH " + _kept_sql(DOCS, False, CAPPED) + " SELECT grp, h1, h2 FROM df ANTI JOIN ok USING (grp, h1, h2)")
 def exclusion_set(spark, sf):
-    return M.excluded(_fp(spark, sf), docs(spark, sf), P)
+    return M.excluded(_fp(spark, sf), docs(spark, sf), CAPPED)
 
 
-@query("WITH " + _kept_sql(DOCS, False) + " SELECT grp, sub_id, h1, h2, pos FROM kept")
+@query("WITH " + _kept_sql(DOCS, False, RARE) + " SELECT grp, h1, h2 FROM df ANTI JOIN ok USING (grp, h1, h2)")
+def frequent_set(spark, sf):
+    return M.excluded(_fp(spark, sf), docs(spark, sf), RARE)
+
+
+@query("WITH " + _kept_sql(DOCS, False, CAPPED) + " SELECT grp, sub_id, h1, h2, pos FROM kept")
 def filtered_fp(spark, sf):
-    return M.filtered(_fp(spark, sf), docs(spark, sf), P)
+    return M.filtered(_fp(spark, sf), docs(spark, sf), CAPPED)
 
 
 @query(WITH + " SELECT grp, sub_id, h1, h2, pos FROM kept")
@@ -203,7 +215,7 @@ def longest_region(spark, sf):
     return _run(spark, sf).regions().groupBy("grp", "a", "b").agg(F.max("tokens").alias("longest_region_tokens"), F.count("*").alias("n_regions"))
 
 
-_RANGES = ", " + OFFSETS.format(src=DOCS) + f""",
+_RANGES = ", " + OFFSETS.format(src="SELECT * FROM fp_s SEMI JOIN (SELECT grp, unnest([a, b]) AS sub_id FROM cand) USING (grp, sub_id)") + f""",
 rr AS (SELECT r.grp, r.a, r.b, r.nth, r.tokens, af.start_byte AS a_start, al.end_byte AS a_end, bf.start_byte AS b_start, bl.end_byte AS b_end, af.line AS a_line_start, al.line AS a_line_end, bf.line AS b_line_start, bl.line AS b_line_end
   FROM reg r JOIN tok af ON af.grp = r.grp AND af.sub_id = r.a AND af.pos = a_first JOIN tok al ON al.grp = r.grp AND al.sub_id = r.a AND al.pos = a_last
   JOIN tok bf ON bf.grp = r.grp AND bf.sub_id = r.b AND bf.pos = b_first JOIN tok bl ON bl.grp = r.grp AND bl.sub_id = r.b AND bl.pos = b_last WHERE r.nth <= {P.max_regions})"""
@@ -212,7 +224,7 @@ rr AS (SELECT r.grp, r.a, r.b, r.nth, r.tokens, af.start_byte AS a_start, al.end
 @query(WITH + _RANGES + " SELECT * FROM rr")
 def region_byte_ranges(spark, sf):
     a = _run(spark, sf)
-    r = M.region_ranges(a.regions().where(F.col("nth") <= P.max_regions), a.tokens)
+    r = a.located(a.regions().where(F.col("nth") <= P.max_regions))
     return r.select("grp", "a", "b", "nth", "tokens", "a_start", "a_end", "b_start", "b_end", "a_line_start", "a_line_end", "b_line_start", "b_line_end")
 
 
@@ -253,9 +265,9 @@ def pair_quality(spark, sf):
     return s.select("flagged", none("qa"), none("qb")).groupBy("flagged", "qa", "qb").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + _kept_sql(TALKS, False) + " SELECT * FROM scored")
+@query("WITH " + _kept_sql(TALKS, False, SHORT) + " SELECT * FROM scored")
 def conversation_dups(spark, sf):
-    return _run(spark, sf, talks, False).scored
+    return _run(spark, sf, talks, False, SHORT).scored
 
 
 @query("WITH " + _kept_sql(PAGES, False) + " SELECT * FROM scored")
@@ -263,11 +275,13 @@ def page_dups(spark, sf):
     return _run(spark, sf, pages, False).scored
 
 
-_BASKET = "WITH d AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), n AS (SELECT o, count(*) AS n FROM d GROUP BY ALL), c AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM d x JOIN d y USING (p) WHERE x.o < y.o GROUP BY ALL HAVING count(*) >= 2)"
+_BASKET = f"WITH d0 AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), d AS (SELECT * FROM d0 SEMI JOIN (SELECT p FROM d0 GROUP BY p HAVING count(*) <= {P.corpus_cap}) USING (p)), n AS (SELECT o, count(*) AS n FROM d GROUP BY ALL), c AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM d x JOIN d y USING (p) WHERE x.o < y.o GROUP BY ALL HAVING count(*) >= 2)"
 
 
 def _baskets(spark, sf):
     d = _t(spark, sf, "lineitem").select(F.lit("l").alias("grp"), F.col("l_partkey").alias("h1"), F.lit(0).alias("h2"), F.col("l_orderkey").alias("sub_id")).distinct()
+    many = M.doc_freq(d).where(F.col("df") > P.corpus_cap)  # parts in more orders than the cap
+    d = d.join(many, M.HASH, "left_anti")
     return d, M.candidates(d, 2)
 
 
@@ -308,6 +322,8 @@ def pairs_min_sim(spark, sf):
 def orders_seek(spark, sf):
     o = _t(spark, sf, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
     first = R.seek_page(o, "o_totalprice", "o_orderkey").where("next_cursor is not null").first()
+    if first is None:  # one page holds them all
+        return o.where("false")
     return R.seek_page(o, "o_totalprice", "o_orderkey", cursor=first["next_cursor"]).select("o_orderkey", "o_totalprice")
 
 
@@ -336,28 +352,30 @@ def dedup_requests(spark, sf):
     return _t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("SELECT user_id, event_id FROM events e WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase')")
+@query("SELECT user_id, event_id FROM events e WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts >= e.ts)")
 def unfinished_requests(spark, sf):
+    """Clicks that no purchase of the same user follows."""
     e = _t(spark, sf, "events")
-    return e.where("event_type = 'click'").join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_anti").select("user_id", "event_id")
+    last = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return e.where("event_type = 'click'").join(last, "user_id", "left").where("last is null or last < ts").select("user_id", "event_id")
 
 
-_SPANS = WITH + _RANGES + ", tx AS (SELECT sub_id AS doc, strlen(source) AS length FROM fp_s), rg AS (SELECT a AS doc, b * 1000 + nth AS region_id, a_start AS s, a_end AS e FROM rr), cut AS (SELECT doc, 0 AS cut FROM tx UNION SELECT doc, length FROM tx UNION SELECT doc, s FROM rg UNION SELECT doc, e FROM rg), sp AS (SELECT doc, cut AS s, lead(cut) OVER (PARTITION BY doc ORDER BY cut) AS e FROM cut)"
+_SPANS = WITH + _RANGES + f", tx AS (SELECT sub_id AS doc, strlen(source) AS length FROM fp_s), rg AS (SELECT a AS doc, b * {WIDE} + nth AS region_id, a_start AS s, a_end AS e FROM rr), cut AS (SELECT doc, 0 AS cut FROM tx UNION SELECT doc, length FROM tx UNION SELECT doc, s FROM rg JOIN tx USING (doc) WHERE s > 0 AND s < length UNION SELECT doc, e FROM rg JOIN tx USING (doc) WHERE e > 0 AND e < length), sp AS (SELECT doc, cut AS s, lead(cut) OVER (PARTITION BY doc ORDER BY cut) AS e FROM cut)"
 
 
 @query(_SPANS + " SELECT sp.doc, CAST(sp.s AS BIGINT) AS start, CAST(sp.e AS BIGINT) AS \"end\", count(rg.doc) AS n_regions, coalesce(min(region_id), -1) AS first_region FROM sp LEFT JOIN rg ON rg.doc = sp.doc AND rg.s <= sp.s AND sp.e <= rg.e WHERE sp.e IS NOT NULL GROUP BY ALL")
 def highlight_spans(spark, sf):
     a = _run(spark, sf)
-    r = M.region_ranges(a.regions().where(F.col("nth") <= P.max_regions), a.tokens)
-    r = r.select(F.col("a").alias("doc"), (F.col("b") * 1000 + F.col("nth")).alias("region_id"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
+    r = a.located(a.regions().where(F.col("nth") <= P.max_regions))
+    r = r.select(F.col("a").alias("doc"), (F.col("b") * WIDE + F.col("nth")).alias("region_id"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
     texts = docs(spark, sf).select(F.col("sub_id").alias("doc"), F.octet_length("source").alias("length"))
     s = R.highlight_spans(texts, r)
     return s.select("doc", "start", "end", F.size("region_ids").cast("long").alias("n_regions"), F.coalesce(F.get("region_ids", F.lit(0)), F.lit(-1)).alias("first_region"))
 
 
-@query(WITH + " SELECT grp, a, max_by(b * 1000 + nth, struct_pack(t := tokens, i := -(b * 1000 + nth))) AS region_id, max(tokens) AS tokens FROM reg GROUP BY ALL")
+@query(WITH + f" SELECT grp, a, max_by(b * {WIDE} + nth, struct_pack(t := tokens, i := -(b * {WIDE} + nth))) AS region_id, max(tokens) AS tokens FROM reg GROUP BY ALL")
 def arg_max_region(spark, sf):
-    r = _run(spark, sf).regions().withColumn("region_id", F.col("b") * 1000 + F.col("nth"))
+    r = _run(spark, sf).regions().withColumn("region_id", F.col("b") * WIDE + F.col("nth"))
     return R.longest_region(r, ["grp", "a"])
 
 
@@ -377,3 +395,46 @@ def utf16_offsets(spark, sf):
 @query(WITH + " SELECT grp, a, b, CAST(floor(sim_a_to_b * 100 + 0.5) AS BIGINT) AS pct FROM scored")
 def similarity_badges(spark, sf):
     return _run(spark, sf).scored.select("grp", "a", "b", S.percent(F.col("sim_a_to_b")).alias("pct"))
+
+
+# Sources of code: pieces with the type and norm they must get (None: dropped); {k} and {c} stand for numbers of an order.
+_CPP_PIECES = [
+    ("// order {k}\n", None, None), ("#include <map>\n", None, None), ("#define", "Preproc", "#define"), (" ", None, None), ("N{k}", "Identifier", "IDENT"), (" ", None, None), ("{c}", "Number", "NUM"), ("\n", None, None),
+    ("int", "Keyword", "int"), (" ", None, None), ("gr", "Identifier", "IDENT"), ("ö", "Raw", "RAW"), ("$", "Raw", "RAW"), (";", "Punct", ";"), (" /* {c}\n{k} */ ", None, None),
+    ("for", "Keyword", "for"), ("(", "Punct", "("), ("auto", "Keyword", "auto"), (" ", None, None), ("x{k}", "Identifier", "IDENT"), ("=", "Punct", "="), ("1'000.5e-3", "Number", "NUM"), (";", "Punct", ";"),
+    ("x{c}", "Identifier", "IDENT"), ("<=", "Punct", "<="), ("0x{c}u", "Number", "NUM"), (";", "Punct", ";"), ("++", "Punct", "++"), ("x", "Identifier", "IDENT"), (")", "Punct", ")"), ("\n\t", None, None),
+    ('"a\\"{k}"', "String", "STR"), ("+", "Punct", "+"), ("'\\''", "Char", "STR"), ("+", "Punct", "+"), ('R"q(é)" {k})q"', "String", "STR"), ("->*", "Punct", "->*"), ("f", "Identifier", "IDENT"), ("#", "Raw", "RAW"), ("\n", None, None), ("/* open {k}", "Raw", "RAW"),
+]
+_PYTHON_PIECES = [
+    ("# order {k}\n", None, None), ("def", "Keyword", "def"), (" ", None, None), ("f{k}", "Identifier", "IDENT"), ("(", "Punct", "("), ("a", "Identifier", "IDENT"), (":=", "Punct", ":="), ("1_000j", "Number", "NUM"), (")", "Punct", ")"), (":", "Punct", ":"), ("\n    ", None, None),
+    ("return", "Keyword", "return"), (" ", None, None), ("rb'{c}é'", "String", "STR"), (" ", None, None), ("+", "Punct", "+"), (" ", None, None), ('f"[{a[\'k\']:{w}}] {{}} {k}"', "String", "STR"), (" ", None, None), ("**=", "Punct", "**="), (" ", None, None),
+    ('"""x\n{k}\n"""', "String", "STR"), (" ", None, None), ("$", "Raw", "RAW"), (" ", None, None), ("None", "Keyword", "None"), (" ", None, None), ("1e-{c}", "Number", "NUM"), ("\n", None, None), ("match", "Identifier", "IDENT"), (" ", None, None), ("//", "Punct", "//"), (" ", None, None), ("'open {k}", "Raw", "RAW"), ("\n", None, None), ("lambda", "Keyword", "lambda"),
+]
+
+
+def _code_sql(pieces) -> str:
+    """Token rows by the pieces' own labels; places are running sums over the pieces."""
+    told = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({n}, {told(t)}, {told(kind)}, {told(norm)}, {'NULL' if norm is None else IDS[norm]})" for n, (t, kind, norm) in enumerate(pieces))
+    return f"""WITH v(n, t, type, norm, tid) AS (VALUES {rows}),
+p AS (SELECT o_orderkey AS sub_id, n, replace(replace(t, '{{k}}', o_orderkey::VARCHAR), '{{c}}', o_custkey::VARCHAR) AS t, type, norm, tid FROM orders, v),
+q AS (SELECT *, coalesce(sum(strlen(t)) OVER r, 0) AS before, 1 + coalesce(sum(length(t) - length(replace(t, chr(10), ''))) OVER r, 0) AS line FROM p WINDOW r AS (PARTITION BY sub_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT sub_id, row_number() OVER (PARTITION BY sub_id ORDER BY n) - 1 AS pos, type, norm, CAST(tid AS BIGINT) AS tid, CAST(line AS BIGINT) AS line, CAST(before AS BIGINT) AS start_byte, CAST(before + strlen(t) AS BIGINT) AS end_byte FROM q WHERE type IS NOT NULL"""
+
+
+def _code(spark, sf, pieces, lexer):
+    text = F.lit("".join(t for t, _, _ in pieces))
+    for mark, c in (("{k}", "o_orderkey"), ("{c}", "o_custkey")):
+        text = F.replace(text, F.lit(mark), F.col(c).cast("string"))
+    subs = _t(spark, sf, "orders").select(F.lit("g").alias("grp"), F.col("o_orderkey").alias("sub_id"), text.alias("source"))
+    return lexer(subs).select("sub_id", "pos", "type", "norm", "tid", "line", "start_byte", "end_byte")
+
+
+@query(_code_sql(_CPP_PIECES))
+def tokens_cpp(spark, sf):
+    return _code(spark, sf, _CPP_PIECES, lex_cpp)
+
+
+@query(_code_sql(_PYTHON_PIECES))
+def tokens_python(spark, sf):
+    return _code(spark, sf, _PYTHON_PIECES, lex_python)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -28,6 +28,15 @@ def direct(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return df
 
 
+def deferred(spark: SparkSession, fetch: Callable, contest_ref: str, keys: list[str], **options) -> Callable[[], DataFrame]:
+    """A submit that names a contest only: its submissions are fetched when the job runs, as usable rows of that contest."""
+
+    def fetched() -> DataFrame:
+        return usable(paged_source(spark, fetch, [f"{contest_ref}/{k}" for k in keys], **options))
+
+    return fetched
+
+
 class PagedSource(DataSource):
     """Pages of a remote listing; one input partition per key, cursors followed inside it.
 
@@ -113,29 +122,43 @@ def write_pairs(pairs: DataFrame, analysis_id: str, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
 
 
-#: Statement forms of generated sources.
-SHAPES = ["int x{i} = {a} + {b} * {i};", "int x{i} = {a} - {b};", "if (x{i} > {a}) {{ x{i} = {b}; }}", "for (int j = 0; j < {a}; j++) {{ x{i} += j; }}", "x{i} = ({a} * {b}) % 7;", "while (x{i} < {a}) {{ x{i}++; }}"]
-TEMPLATE = ["#include <bits/stdc++.h>", "using namespace std;", "int main() {", "ios::sync_with_stdio(false);", "cin.tie(nullptr);"]
+def _expressions(i: Column, draw) -> Column:
+    """Expressions over variables, calls and numbers; of two draws the smaller one counts, so the simple ones are commoner."""
+    v = lambda tag: F.concat(F.lit("q"), draw(f"v{tag}", i, 40).cast("string"))
+    n = lambda tag: draw(f"n{tag}", i, 900).cast("string")
+    return F.array(
+        v(0), n(0), F.concat(v(1), F.lit(" + "), v(2)), F.concat(F.lit("f("), v(3), F.lit(")")), F.concat(v(4), F.lit(" * "), n(1)), F.concat(F.lit("w["), v(5), F.lit("]")),
+        F.concat(F.lit("g("), v(6), F.lit(", "), n(2), F.lit(")")), F.concat(F.lit("("), v(7), F.lit(" ^ "), v(8), F.lit(") >> "), n(3)),
+    )
+
+
+def _statement(i: Column, draw) -> Column:
+    """One line of a body: a form and two expressions drawn by the line's number."""
+    every = _expressions(i, draw)
+    size = 8
+    e = lambda tag: F.get(every, F.least(draw(f"{tag}1", i, size), draw(f"{tag}2", i, size)).cast("int"))
+    to = F.concat(F.lit("q"), draw("to", i, 40).cast("string"))
+    forms = F.array(
+        F.concat(to, F.lit(" = "), e("a"), F.lit(";")), F.concat(F.lit("emit("), e("b"), F.lit(");")), F.concat(F.lit("w["), e("c"), F.lit("] -= "), e("d"), F.lit(";")),
+        F.concat(F.lit("if ("), e("f"), F.lit(" != "), e("g"), F.lit(") return "), to, F.lit(";")), F.concat(F.lit("do { --"), to, F.lit("; } while ("), e("h"), F.lit(");")),
+        F.concat(F.lit("long "), to, F.lit("{"), e("k"), F.lit("};")),
+    )
+    return F.get(forms, F.least(draw("s1", i, 6), draw("s2", i, 6)).cast("int"))
 
 
 def generated(spark: SparkSession, n: int, plagiarism_rate: float = 0.05, template_share: float = 0.3, lines: int = 200, seed: int = 1) -> DataFrame:
-    """A synthetic corpus made by SQL expressions from ids and hashes alone, so it is the same on every run."""
+    """A synthetic corpus made by SQL expressions from ids and hashes alone, so it is the same on every run.
+
+    A source begins with lines that all have in common and goes on with drawn
+    statements; a copy has the drawn statements of an earlier source.
+    """
     head = round(lines * template_share)
-    rnd = lambda *x: F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(1 << 30))
-    copied = (F.col("id") > 0) & (rnd(F.lit("copy"), F.col("id")) < int(plagiarism_rate * (1 << 30)))
-    body = F.when(copied, F.pmod(rnd(F.lit("from"), F.col("id")), F.col("id"))).otherwise(F.col("id"))
-
-    def line(i):
-        a, b, k = F.pmod(rnd(F.lit("a"), F.col("body"), i), F.lit(97)), F.pmod(rnd(F.lit("b"), F.col("body"), i), F.lit(53)), F.pmod(rnd(F.lit("s"), F.col("body"), i), F.lit(len(SHAPES)))
-        out = F.lit("")
-        for n_, shape in enumerate(SHAPES):
-            text = F.lit(shape.replace("{{", "{").replace("}}", "}"))
-            for name, value in (("{i}", i), ("{a}", a), ("{b}", b)):
-                text = F.replace(text, F.lit(name), value.cast("string"))
-            out = F.when(k == n_, text).otherwise(out)
-        return F.concat(F.lit("    "), out)
-
-    template = F.lit("\n".join(TEMPLATE[i % len(TEMPLATE)] for i in range(head)))
-    d = spark.range(n).withColumn("body", body)
-    source = F.concat_ws("\n", template, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(lines - head - 1)), line), "\n"), F.lit("    return 0;\n}"))
+    below = lambda m, *x: F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(m))
+    copied = (F.col("id") > 0) & (below(1 << 30, F.lit("copy"), F.col("id")) < int(plagiarism_rate * (1 << 30)))
+    body = F.when(copied, F.pmod(below(1 << 30, F.lit("from"), F.col("id")), F.col("id"))).otherwise(F.col("id"))
+    draw = lambda tag, i, m: below(m, F.lit(tag), F.col("body"), i)
+    common = F.lit("\n".join(f"static const long c{k}[] = {{{k}, {k * k}, c{max(0, k - 1)}[0]}};" for k in range(head)))
+    d = spark.range(n).withColumn("body", body).select("id", "body", F.explode(F.sequence(F.lit(1), F.lit(lines - head))).alias("i"))
+    d = d.withColumn("line", _statement(F.col("i"), draw)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
+    source = F.concat_ws("\n", common, F.array_join(F.transform("x", lambda y: y["line"]), "\n"))
     return d.select(F.lit("bench").alias("grp"), F.concat(F.lit("s"), F.col("id")).alias("sub_id"), F.lit("cpp").alias("language"), source.alias("source"))
