@@ -119,10 +119,10 @@ def with_next(df: DataFrame, key: str, cols: list[str], n_parts: int, made: dict
     seen = F.struct(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{c}`") for c in made])
     order = [F.col(f"`{key}`").asc_nulls_first(), *[F.col(f"`{c}`") for c in cols]]
     inner = ranged.withColumns(made).withColumn(nxt, F.lead(seen).over(W.partitionBy(r).orderBy(*order)))
-    # the first row of each range: least keys first, then whole rows of these only
+    # the first row of each range: least keys first (RANGES rows at most, so they are broadcast), then whole rows of these only
     mark = F.struct(F.col(f"`{key}`").isNotNull().alias("k"), F.col(f"`{key}`").alias("v"))
     least = ranged.groupBy(F.col(r).alias(of)).agg(F.min(mark).alias(follow))
-    edge = ranged.join(least, (F.col(r) == F.col(of)) & F.col(f"`{key}`").eqNullSafe(F.col(follow)["v"]), "left_semi").withColumns(made)
+    edge = ranged.join(F.broadcast(least), (F.col(r) == F.col(of)) & F.col(f"`{key}`").eqNullSafe(F.col(follow)["v"]), "left_semi").withColumns(made)
     edge = edge.groupBy(F.col(r).alias(of)).agg(F.min(seen).alias("first"))
     ranges = W.orderBy(of)
     edge = edge.select(of, F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias(follow))
