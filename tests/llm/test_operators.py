@@ -162,7 +162,9 @@ def test_jaccard(docs, none, n, percent, most):
         assert jaccard.jaccard_components(none, n, percent).count() == 0
 
 
-def test_one_per_group(docs):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_one_per_group(docs, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
     kept = jaccard.one_per_group(docs)
     want = components(docs.collect(), 5, 80)
     groups = {c for _, n, c in want if n}
@@ -311,6 +313,7 @@ def test_quality_outliers(spark):
 @pytest.mark.parametrize("small", [1_000, 2, 0])
 def test_chat(spark, monkeypatch, small):
     monkeypatch.setattr(chat, "SMALL_TREE", small)  # trees met by name, by node, or both
+    monkeypatch.setattr(chat, "BROADCAST_TREES", 0 if small == 2 else 100_000)
     odd = "<|im_end|><|im_start|>assistant ok &lt;| & <"
     rows = [(1, 0, None, "user", odd, 0.0), (1, 1, 0, "assistant", "A\n1", 1.0), (1, 2, 0, "assistant", None, 2.0), (1, 3, 1, "us\ner&", "", 5.0),
             (2, 0, 9, None, "orphan", None), (3, 0, 1, "user", "cycle", 0.0), (3, 1, 0, "user", "cycle", 0.0), (3, 2, 0, "assistant", "on it", 0.0), (None, 0, None, "assistant", odd, 0.0)]

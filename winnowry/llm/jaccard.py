@@ -56,7 +56,7 @@ CLUSTER_ELEMENTS = 1_000_000
 CHUNK_SETS = 200
 PIVOTS = 256
 MOST_PIVOTS = 2_048
-BLOOM_BITS = 26
+BLOOM_BITS = 29
 SUBPARTS = 4
 SALTS = 16
 SLACK = 1.2
@@ -273,18 +273,22 @@ def linked_labels(sets: list[np.ndarray], percent: int, pivots: int | None = Non
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of nodes, of fixed size (2^BLOOM_BITS bits, two bits each), gathered as or-ed words."""
-    mask = (1 << BLOOM_BITS) - 1
+    """A Bloom filter of nodes, two bits each among some 16 a node, 2^BLOOM_BITS at most, gathered as or-ed words.
+
+    Beyond that bound it lets more sets pass than it need, which the join after it drops.
+    """
+    size = min(BLOOM_BITS, max(20, (16 * nodes.count()).bit_length()))
+    mask = (1 << size) - 1
     bits = nodes.select(F.explode(F.array(F.col("node").bitwiseAND(mask), F.shiftrightunsigned("node", 32).bitwiseAND(mask))).alias("x"))
     words = bits.groupBy(F.shiftright("x", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m"))
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("m").to_numpy()
     return out
 
 
 def _maybe(bitmap: np.ndarray, node: int) -> bool:
-    mask = (1 << BLOOM_BITS) - 1
+    mask = 64 * len(bitmap) - 1
     return all(int(bitmap[x >> 6]) >> (x & 63) & 1 for x in (node & mask, (node >> 32) & mask))
 
 

@@ -40,8 +40,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     """(source, source_size) -> adds weight and target.
 
     With the sources in the order of most*size/weight, the first ones are full;
-    the rest share what is left by weight.  One row per source: windows over
-    all of them are small.
+    the rest share what is left by weight.  One row of a few numbers per source is
+    sorted in one task, which is meant for up to some millions of sources.
     """
     everything = W.orderBy(F.col("source").asc_nulls_last())
     nth = F.row_number().over(everything) - 1
