@@ -505,8 +505,7 @@ def test_attention_gradients():
 
     def loss(x):
         _, c = net.look(x, x @ net.p["qk"])
-        h = np.maximum(0, x[real] @ net.p["own"] + c[real] @ net.p["seen"] + net.p["b"])
-        z = net.logits(h)
+        z = net.logits(net.hidden(x[real] @ net.p["own"], c[real] @ net.p["seen"], net.p["b"]))
         return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), target[real]]).mean())
 
     trainer = attention.Trainer(net, 0.0)

@@ -20,7 +20,7 @@ DIM = 16
 HIDDEN = 32
 WINDOW = 32
 STRIDE = 28
-BATCH = 32
+BATCH = 64
 #: Places worked on together: bounds memory, and how long embeddings wait for their step.
 GROUP = 15_000
 N_IDS = 50_257
@@ -119,10 +119,21 @@ class Attention:
         return a, a @ x
 
     def logits(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.p["out"]
-        z += self.p["bo"]
+        """h has a last column of ones, for the biases."""
+        z = h @ np.concatenate([self.p["out"], self.p["bo"][None]])
         return np.minimum(z, F32(60), out=z)
 
+    def hidden(self, *parts: np.ndarray) -> np.ndarray:
+        """The sum of the parts under the ramp, and a last column of ones."""
+        h = np.empty((len(parts[0]), HIDDEN + 1), parts[0].dtype)
+        h[:, HIDDEN] = 1
+        own = h[:, :HIDDEN]
+        np.add(parts[0], parts[1], out=own)
+        for x in parts[2:]:
+            own += x
+        np.maximum(own, 0, out=own)
+        return h
+
     def scores(self, bags: Bags, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """ln P(class of the word | words before it in its window) at each place of texts; words count from 1."""
         p = self.p
@@ -139,10 +150,7 @@ class Attention:
                 s, at = scored[k : k + BATCH], place[k : k + BATCH]
                 num = inputs[at]
                 _, c = self.look(vec[num], asks[num])
-                h = c[s] @ p["seen"]
-                h += own[num[s]]
-                np.maximum(h, 0, out=h)
-                lg = self.logits(h)
+                lg = self.logits(self.hidden(c[s] @ p["seen"], own[num[s]]))
                 mine = at[s]
                 chosen = lg[np.arange(len(lg)), target[mine]]
                 np.exp(lg, out=lg)
@@ -194,10 +202,7 @@ class Trainer:
         q = x @ p["qk"]
         a, c = net.look(x, q)
         xf, cf, real, target = flat(x), flat(c), real.ravel(), target.ravel()
-        h = xf @ p["own"]
-        h += cf @ p["seen"]
-        h += p["b"]
-        np.maximum(h, 0, out=h)
+        h = net.hidden(xf @ p["own"], cf @ p["seen"], p["b"])
         pr = net.logits(h)
         rows, n = np.arange(len(pr)), int(real.sum())
         chosen = pr[rows, target]
@@ -208,9 +213,10 @@ class Trainer:
         share = real * F32(1 / max(1, n))  # places that stand for nothing count for nothing
         pr *= (share / total)[:, None]
         pr[rows, target] -= share
-        by = {"out": h.T @ pr, "bo": pr.sum(0)}
+        outer = h.T @ pr
+        by = {"out": outer[:HIDDEN], "bo": outer[HIDDEN]}
         gh = pr @ p["out"].T
-        gh *= h > 0
+        gh *= h[:, :HIDDEN] > 0
         by |= {"own": xf.T @ gh, "seen": cf.T @ gh, "b": gh.sum(0)}
         gx, gc = (gh @ p["own"].T).reshape(x.shape), (gh @ p["seen"].T).reshape(x.shape)
         ga = gc @ x.transpose(0, 2, 1)

@@ -45,11 +45,11 @@ from .common import fan_out, fold, materialise, steady, table
 
 #: Passes over disjoint parts of the blocks, and by which remainders of their hashes modulo 4 they are dealt.
 ROUNDS = ((0,), (1, 2, 3))
-RATE = 0.006
+RATE = 0.008
 #: Rows of the embedding that are averaged together.
 ROWS = 512
 #: Bytes of text of a block.
-BLOCK = 4 << 20
+BLOCK = 6 << 20
 END = b" "  # the end token; no word holds a space
 LOG10 = float(np.log(10))
 
