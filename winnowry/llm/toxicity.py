@@ -38,7 +38,7 @@ FILTERS = 8
 #: Most labelled rows that training and calibration use.
 SAMPLE = 6000
 #: As how many documents the base rate counts in a bucket's log odds.  This, the rate and the epochs were chosen by five-fold cross-validation within the training rows (README).
-PRIOR = 16.0
+PRIOR = 128.0
 #: Most words a task remembers the buckets of.
 REMEMBERED = 200_000
 #: Places scored at once.
