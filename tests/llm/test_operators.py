@@ -437,6 +437,16 @@ def test_lm_scores(docs, none):
     assert len(unlearnt) == len(rows) and all(g.train_tokens == g.n_known == 0 and abs(g.score - g.base_score) < 1e-6 for g in unlearnt)
 
 
+def test_subwords(spark, sf):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True  # as ordinary text
+    words = sorted({w for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() for w in lm_scores.words(r.text)} | {w for x in TEXTS for w in lm_scores.words(x)} | {b"\xff\xfe", b"\xed\xa0\x80"})
+    assert lm_scores.subwords(path, words) == [t.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words]
+
+
 def test_lm_scores_learns_from_every_text(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     text = {k: " ".join(f"{'abcdefgh'[(i * i + k) % 8]}{k}" for i in range(90)) for k in range(5)}
@@ -504,7 +514,7 @@ def test_attention_gradients():
     target = r.integers(0, attention.CLASSES, real.shape)
 
     def loss(x):
-        _, c = net.look(x, x @ net.p["qk"])
+        c = net.look(x, x @ net.p["qk"])[2]
         z = net.logits(net.hidden(x[real] @ net.p["own"], c[real] @ net.p["seen"], net.p["b"]))
         return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), target[real]]).mean())
 

@@ -106,8 +106,8 @@ class Attention:
         lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
         self.lag, self.mask = np.maximum(lag, 0), np.where(lag < 0, F32(-1e9), F32(0))
 
-    def look(self, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Attention weights of windows (windows, places, places) and what they find; x: inputs, q: x @ qk.
+    def look(self, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Attention weights of windows (windows, places, places), their sums by which to divide them, and what they find; x: inputs, q: x @ qk.
 
         Places that stand for nothing come after the real ones, where the mask hides them.
         """
@@ -115,8 +115,10 @@ class Attention:
         a += self.p["place"][self.lag] + self.mask
         np.minimum(a, F32(60), out=a)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        return a, a @ x
+        total = a.sum(-1, keepdims=True)
+        c = a @ x
+        c /= total
+        return a, total, c
 
     def logits(self, h: np.ndarray) -> np.ndarray:
         """h has a last column of ones, for the biases."""
@@ -149,7 +151,7 @@ class Attention:
             for k in range(0, len(place), BATCH):
                 s, at = scored[k : k + BATCH], place[k : k + BATCH]
                 num = inputs[at]
-                _, c = self.look(vec[num], asks[num])
+                c = self.look(vec[num], asks[num])[2]
                 lg = self.logits(self.hidden(c[s] @ p["seen"], own[num[s]]))
                 mine = at[s]
                 chosen = lg[np.arange(len(lg)), target[mine]]
@@ -176,17 +178,26 @@ class Trainer:
 
     def __init__(self, net: Attention, rate: float, squares: dict[str, np.ndarray] | None = None, step: int = 0):
         self.net, self.rate, self.step, self.begun, self.places, self.loss = net, rate, step, step, 0, 0.0
-        self.m = {k: np.zeros_like(v) for k, v in net.p.items() if k != "emb"}
         self.s = squares or {k: np.zeros_like(v) for k, v in net.p.items()}
         self.uses = np.zeros(len(net.p["emb"]), np.int64)
-
-    def _dense(self, key: str, grad: np.ndarray) -> None:
-        m, s = self.m[key], self.s[key]
+        # the dense weights of a batch side by side, so that a step is a few products
+        self.keys = [k for k in net.p if k not in ("emb", "start")]
+        ends = np.cumsum([0, *(net.p[k].size for k in self.keys)])
+        self.cut = {k: slice(a, z) for k, a, z in zip(self.keys, ends, ends[1:], strict=False)}
+        flat = lambda d: np.concatenate([d[k].ravel() for k in self.keys])
+        self.flat, self.squares = flat(net.p), flat(self.s)
+        self.grad, self.moment = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.start_moment = np.zeros_like(net.p["start"])
+        for k in self.keys:
+            net.p[k] = self.flat[self.cut[k]].reshape(net.p[k].shape)
+            self.s[k] = self.squares[self.cut[k]].reshape(net.p[k].shape)
+
+    def _adam(self, value: np.ndarray, grad: np.ndarray, m: np.ndarray, s: np.ndarray) -> None:
         m *= F32(0.9)
         m += F32(0.1) * grad
         s *= F32(0.98)
         s += F32(0.02) * grad * grad
-        self.net.p[key] -= F32(self.rate / (1 - 0.9 ** (self.step - self.begun))) * m / (np.sqrt(s * F32(1 / (1 - 0.98**self.step))) + F32(1e-7))
+        value -= F32(self.rate / (1 - 0.9 ** (self.step - self.begun))) * m / (np.sqrt(s * F32(1 / (1 - 0.98**self.step))) + F32(1e-7))
 
     def _embeddings(self, rows: np.ndarray, grad: np.ndarray) -> None:
         """A step by the root of the summed squares (Adagrad), for the rows in use."""
@@ -200,7 +211,8 @@ class Trainer:
         self.step += 1
         flat = lambda t: t.reshape(-1, t.shape[-1])
         q = x @ p["qk"]
-        a, c = net.look(x, q)
+        a, seen, c = net.look(x, q)
+        a /= seen
         xf, cf, real, target = flat(x), flat(c), real.ravel(), target.ravel()
         h = net.hidden(xf @ p["own"], cf @ p["seen"], p["b"])
         pr = net.logits(h)
@@ -229,7 +241,8 @@ class Trainer:
         gx += gq @ p["qk"].T
         by["qk"] = xf.T @ flat(gq)
         for key, grad in by.items():
-            self._dense(key, grad)
+            self.grad[self.cut[key]] = grad.ravel()
+        self._adam(self.flat, self.grad, self.moment, self.squares)
         return gx
 
     def texts(self, bags: Bags, words: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> None:
@@ -251,7 +264,7 @@ class Trainer:
             by_word = _sums(grads, inputs, len(used))
             begins = int(len(used) > 0 and used[0] == 0)
             if begins:
-                self._dense("start", by_word[0])
+                self._adam(self.net.p["start"], by_word[0], self.start_moment, self.s["start"])
             if len(used) > begins:
                 ids, _, n = bags.own(used[begins:])
                 rows, count, at = _renumbered(ids, len(self.uses))

@@ -29,6 +29,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import json
 import pickle
 import zlib
 from itertools import chain
@@ -61,11 +63,33 @@ def words(text: str | None) -> list[bytes]:
     return w
 
 
-def subwords(path: str, some: list[bytes]) -> list[list[int]]:
-    """Subword ids of words, each as it stands after a space."""
-    from .token_counts import _tokenizer
+@functools.lru_cache(1)
+def _encoder(path: str):
+    """A function from texts to subword ids.
+
+    Where each merge of a byte-level vocabulary makes the next id, ids are ranks,
+    and a rank encoder gives the same ids with less work for each short text.
+    """
+    from .token_counts import PRETOKEN, _tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
+    if all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)):
+        import tiktoken
 
-    return [e.ids for e in _tokenizer(path)[0].encode_batch_fast([" " + w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
+        # the usual printable stand-ins of bytes
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+        whole = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [whole.encode_ordinary(t) for t in texts]
+    return lambda texts: [e.ids for e in _tokenizer(path)[0].encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def subwords(path: str, some: list[bytes]) -> list[list[int]]:
+    """Subword ids of words, each as it stands after a space; special strings in them are ordinary text."""
+    return _encoder(path)([" " + w.decode("utf-8", "replace") for w in some])
 
 
 def class_table(uses: np.ndarray) -> np.ndarray:
@@ -111,17 +135,15 @@ def _bag_rows(batches, n_buckets: int):
 
 def _counted(path: str):
     def run(t: pa.Table) -> pa.Table:
-        count: dict[bytes, int] = {}
         rows = list(zip(*(t.column(i).to_pylist() for i in range(4)), strict=True))
         here = rows[0][0]
-        for _, _, kind, payload in rows:
-            if not kind:
-                terms, _, uses = unpack(payload)
-                for w, c in zip(terms, uses.tolist(), strict=True):
-                    count[w] = count.get(w, 0) + c
-        every = list(count)
-        total = np.fromiter(count.values(), np.int64, len(every))
-        place = {w: k for k, w in enumerate(every)}
+        bags = [(block, *unpack(payload)) for _, block, kind, payload in rows if not kind]
+        numbers = Numbers()
+        n_terms = [len(b[1]) for b in bags]
+        every_use = np.fromiter(map(numbers.__getitem__, chain.from_iterable(b[1] for b in bags)), np.int64, sum(n_terms))
+        every = list(numbers)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, every_use, np.concatenate([b[3].astype(np.int64) for b in bags]) if bags else np.zeros(0, np.int64))
         sizes, ids = [], []
         for a in range(0, len(every), 20_000):
             got = subwords(path, every[a : a + 20_000])
@@ -129,20 +151,17 @@ def _counted(path: str):
             ids.append(np.fromiter(chain.from_iterable(got), np.uint16, int(sizes[-1].sum())))
         sizes, ids = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint16), *ids])
         starts = np.cumsum(sizes) - sizes
-        out = []
-        for _, block, kind, payload in rows:
-            if kind:
-                out.append((here, block, kind, payload))
-                continue
-            terms, own, _ = unpack(payload)
-            k = np.fromiter(map(place.__getitem__, terms), np.int64, len(terms))
+        out = [(here, block, kind, payload) for _, block, kind, payload in rows if kind]
+        cuts = np.cumsum([0, *n_terms])
+        for (block, _, own, _), a, z in zip(bags, cuts, cuts[1:], strict=False):
+            k = every_use[a:z]
             n = sizes[k]
             flat = ids[np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             out.append((here, block, 0, pack((own, compact(total[k]), compact(n), flat))))
         # training uses and kinds of words by first subword id; the end token stands after the ids
         first = ids[starts].astype(np.int64) if len(every) else np.zeros(0, np.int64)
-        if END in place:
-            first[place[END]] = N_IDS
+        if END in numbers:
+            first[numbers[END]] = N_IDS
         known = total > 0
         at, inv = np.unique(first[known], return_inverse=True)
         out.append((here, f"#{here}", 2, pack((at, np.bincount(inv, total[known], len(at)).astype(np.int64), np.bincount(inv, minlength=len(at))))))
