@@ -122,28 +122,28 @@ def write_pairs(pairs: DataFrame, analysis_id: str, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
 
 
-def _expressions(i: Column, draw) -> Column:
-    """Expressions over variables, calls and numbers; of two draws the smaller one counts, so the simple ones are commoner."""
-    v = lambda tag: F.concat(F.lit("q"), draw(f"v{tag}", i, 40).cast("string"))
-    n = lambda tag: draw(f"n{tag}", i, 900).cast("string")
-    return F.array(
-        v(0), n(0), F.concat(v(1), F.lit(" + "), v(2)), F.concat(F.lit("f("), v(3), F.lit(")")), F.concat(v(4), F.lit(" * "), n(1)), F.concat(F.lit("w["), v(5), F.lit("]")),
-        F.concat(F.lit("g("), v(6), F.lit(", "), n(2), F.lit(")")), F.concat(F.lit("("), v(7), F.lit(" ^ "), v(8), F.lit(") >> "), n(3)),
-    )
-
-
-def _statement(i: Column, draw) -> Column:
-    """One line of a body: a form and two expressions drawn by the line's number."""
-    every = _expressions(i, draw)
-    size = 8
-    e = lambda tag: F.get(every, F.least(draw(f"{tag}1", i, size), draw(f"{tag}2", i, size)).cast("int"))
-    to = F.concat(F.lit("q"), draw("to", i, 40).cast("string"))
-    forms = F.array(
-        F.concat(to, F.lit(" = "), e("a"), F.lit(";")), F.concat(F.lit("emit("), e("b"), F.lit(");")), F.concat(F.lit("w["), e("c"), F.lit("] -= "), e("d"), F.lit(";")),
-        F.concat(F.lit("if ("), e("f"), F.lit(" != "), e("g"), F.lit(") return "), to, F.lit(";")), F.concat(F.lit("do { --"), to, F.lit("; } while ("), e("h"), F.lit(");")),
-        F.concat(F.lit("long "), to, F.lit("{"), e("k"), F.lit("};")),
-    )
-    return F.get(forms, F.least(draw("s1", i, 6), draw("s2", i, 6)).cast("int"))
+OPERATORS = "+ - * / % & | ^".split()
+
+
+def _statements(d: DataFrame, draw) -> DataFrame:
+    """d (id, body, i) with the line of each number i: a form and two expressions; one of three expressions is a single term."""
+    at, terms = F.col("i"), ("al", "ar", "bl", "br")
+    d = d.withColumns({f"v_{t}": F.concat(F.lit("q"), draw(f"v{t}", at, 40).cast("string")) for t in (*terms, "to")} | {f"n_{t}": draw(f"n{t}", at, 900).cast("string") for t in terms} | {f"k_{t}": draw(f"t{t}", at, 4) for t in terms})
+
+    def term(t):
+        v = F.col(f"v_{t}")
+        return F.when(F.col(f"k_{t}") == 0, v).when(F.col(f"k_{t}") == 1, F.col(f"n_{t}")).when(F.col(f"k_{t}") == 2, F.concat(F.lit("f("), v, F.lit(")"))).otherwise(F.concat(F.lit("w["), v, F.lit("]")))
+
+    d = d.withColumns({f"t_{t}": term(t) for t in terms} | {f"o_{x}": draw(f"o{x}", at, len(OPERATORS)).cast("int") for x in "ab"} | {f"x_{x}": draw(f"x{x}", at, 3) for x in "ab"})
+    operator = lambda x: F.element_at(F.array(*map(F.lit, OPERATORS)), F.col(f"o_{x}") + 1)
+    d = d.withColumns({x: F.when(F.col(f"x_{x}") < 1, F.col(f"t_{x}l")).otherwise(F.concat_ws(" ", f"t_{x}l", operator(x), f"t_{x}r")) for x in "ab"} | {"form": draw("form", at, 8)})
+    forms = ["{to} = {a};", "emit({a});", "w[{a}] = {b};", "{to} <<= {a};", "{to} ^= {a};", "long {to}{{{a}}};", "if ({a}) {to}++;", "{to} -= {a};"]
+    filled = None
+    for k, form in enumerate(forms):
+        parts = form.format(to="\0v_to\0", a="\0a\0", b="\0b\0").split("\0")
+        text = F.concat(*[F.col(p) if j % 2 else F.lit(p) for j, p in enumerate(parts)])
+        filled = F.when(F.col("form") == k, text) if filled is None else filled.when(F.col("form") == k, text)
+    return d.select("id", "i", filled.alias("line"))
 
 
 def generated(spark: SparkSession, n: int, plagiarism_rate: float = 0.05, template_share: float = 0.3, lines: int = 200, seed: int = 1) -> DataFrame:
@@ -159,6 +159,6 @@ def generated(spark: SparkSession, n: int, plagiarism_rate: float = 0.05, templa
     draw = lambda tag, i, m: below(m, F.lit(tag), F.col("body"), i)
     common = F.lit("\n".join(f"static const long c{k}[] = {{{k}, {k * k}, c{max(0, k - 1)}[0]}};" for k in range(head)))
     d = spark.range(n).withColumn("body", body).select("id", "body", F.explode(F.sequence(F.lit(1), F.lit(lines - head))).alias("i"))
-    d = d.withColumn("line", _statement(F.col("i"), draw)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
+    d = _statements(d, draw).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
     source = F.concat_ws("\n", common, F.array_join(F.transform("x", lambda y: y["line"]), "\n"))
     return d.select(F.lit("bench").alias("grp"), F.concat(F.lit("s"), F.col("id")).alias("sub_id"), F.lit("cpp").alias("language"), source.alias("source"))
