@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..vocab import CPP_KEYWORDS, CPP_OPERATORS, PYTHON_KEYWORDS, PYTHON_OPERATORS, classify_identifier, intern
+from ..vocab import CPP_KEYWORDS, CPP_OPERATORS, PYTHON_KEYWORDS, PYTHON_OPERATORS, intern
 
 
 def _any(operators: list[str]) -> str:
@@ -67,14 +67,25 @@ def _exploded(df: DataFrame, lexemes: Column) -> DataFrame:
     return df.select("grp", "sub_id", F.posexplode(lexemes).alias("n", "lexeme"))
 
 
-def lex_cpp(df: DataFrame) -> DataFrame:
-    d = _placed(_exploded(df, F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(CPP), F.lit(0))))
+def _ids(d: DataFrame) -> DataFrame:
+    """(grp, sub_id, pos, tid) of typed lexemes, without places."""
+    pos = F.row_number().over(W.partitionBy("grp", "sub_id").orderBy("n")).cast("long") - 1
+    return d.select("grp", "sub_id", pos.alias("pos"), intern(F.col("norm")).alias("tid"))
+
+
+def _lexemes_cpp(df: DataFrame) -> DataFrame:
+    return _exploded(df, F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(CPP), F.lit(0)))
+
+
+def _typed_cpp(d: DataFrame) -> DataFrame:
+    """Adds bare (the lexeme without the white space a directive may begin with), lead (bytes of that), type and norm; types by the first character, so patterns are the exception."""
     x = F.col("lexeme")
-    bare = F.regexp_replace(x, r"\A[ \t\r\n\x0B\f]+", "")
-    lead = F.octet_length(x) - F.octet_length(bare)
-    d = d.withColumn("bare", bare).withColumn("lead", lead.cast("long"))
+    d = d.withColumn("bare", F.ltrim(x, F.lit(" \t\r\n\x0b\f")))
     b = F.col("bare")
-    is_directive = b.startswith("#") & ((F.col("lead") > 0) | (F.col("at") == 0) | (F.length(b) > 1))
+    d = d.withColumn("lead", (F.octet_length(x) - F.octet_length(b)).cast("long")).withColumn("first", F.ascii(b))
+    first, second = F.col("first"), F.ascii(F.substring(b, 2, 1))
+    digit = lambda c: c.between(48, 57)
+    is_directive = (first == ord("#")) & ((F.col("lead") > 0) | (F.col("n") == 0) | (F.length(b) > 1))
     word = F.concat(F.lit("#"), F.regexp_extract(b, r"\A#[ \t]*([A-Za-z_]*)", 1))
     closed = lambda q: b.rlike(rf"\A{q}(?:[^{q}\\\n]|\\(?s:.))*+{q}\z")
     kind = (
@@ -82,24 +93,34 @@ def lex_cpp(df: DataFrame) -> DataFrame:
         .when(b.startswith("/*"), F.when(b.rlike(r"(?s)\A/\*.*?\*/\z"), None).otherwise("Raw"))
         .when(is_directive, F.when(word == "#include", None).otherwise("Preproc"))
         .when(b.startswith('R"'), F.when(b.rlike(r'(?s)\AR"([^(]*+)\(.*?\)\1"\z'), "String").otherwise("Raw"))
-        .when(b.rlike(r"\A[A-Za-z_]"), F.when(b.isin(CPP_KEYWORDS), "Keyword").otherwise("Identifier"))
-        .when(b.rlike(r"\A\.?[0-9]"), "Number")
-        .when(b.startswith('"'), F.when(closed('"'), "String").otherwise("Raw"))
-        .when(b.startswith("'"), F.when(closed("'"), "Char").otherwise("Raw"))
+        .when(first.between(97, 122) | first.between(65, 90) | (first == 95), F.when(b.isin(CPP_KEYWORDS), "Keyword").otherwise("Identifier"))
+        .when(digit(first) | ((first == 46) & digit(second)), "Number")
+        .when(first == ord('"'), F.when(closed('"'), "String").otherwise("Raw"))
+        .when(first == ord("'"), F.when(closed("'"), "Char").otherwise("Raw"))
         .when(b.isin(CPP_OPERATORS), "Punct").otherwise("Raw")
     )
     d = d.withColumn("type", kind).where("type is not null")
     norm = (
-        F.when(F.col("type") == "Preproc", word).when(F.col("type").isin("Keyword", "Identifier"), classify_identifier(b, CPP_KEYWORDS))
-        .when(F.col("type") == "Number", "NUM").when(F.col("type").isin("String", "Char"), "STR").when(F.col("type") == "Punct", b).otherwise("RAW")
+        F.when(F.col("type") == "Preproc", word).when(F.col("type").isin("Keyword", "Punct"), b).when(F.col("type") == "Identifier", "IDENT")
+        .when(F.col("type") == "Number", "NUM").when(F.col("type").isin("String", "Char"), "STR").otherwise("RAW")
     )
+    return d.withColumn("norm", norm)
+
+
+def lex_cpp(df: DataFrame) -> DataFrame:
+    d = _typed_cpp(_placed(_lexemes_cpp(df)))
+    x, b = F.col("lexeme"), F.col("bare")
     head = F.substring(x, F.lit(1), F.length(x) - F.length(b))
     breaks = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    d = d.withColumn("norm", norm).withColumn("col", F.when(breaks > 0, F.length(F.substring_index(head, "\n", -1)) + 1).otherwise(F.col("col") + F.length(head)))
+    d = d.withColumn("col", F.when(breaks > 0, F.length(F.substring_index(head, "\n", -1)) + 1).otherwise(F.col("col") + F.length(head)))
     d = d.withColumn("line", F.col("line") + breaks).withColumn("start_byte", F.col("at") + F.col("lead")).withColumn("end_byte", F.col("at") + F.col("size")).withColumn("tid", intern(F.col("norm")))
     return _numbered(d)
 
 
+def cpp_ids(df: DataFrame) -> DataFrame:
+    return _ids(_typed_cpp(_lexemes_cpp(df)))
+
+
 @functools.lru_cache(1)
 def _python_pattern():
     import regex
@@ -154,19 +175,30 @@ def python_lexemes(source: str) -> list[tuple[str, str | None]]:
     return out
 
 
-def lex_python(df: DataFrame) -> DataFrame:
+def _lexemes_python(df: DataFrame) -> DataFrame:
     @F.pandas_udf("array<struct<lexeme:string,type:string>>")
     def _python_udf(sources):
         return sources.map(lambda s: [{"lexeme": a, "type": b} for a, b in python_lexemes(s or "")])
 
-    got = df.select("grp", "sub_id", F.posexplode(_python_udf("source")).alias("n", "x")).select("grp", "sub_id", "n", "x.lexeme", "x.type")
-    d = _placed(got).where("type is not null")
+    return df.select("grp", "sub_id", F.posexplode(_python_udf("source")).alias("n", "x")).select("grp", "sub_id", "n", "x.lexeme", "x.type")
+
+
+def _typed_python(d: DataFrame) -> DataFrame:
     x, t = F.col("lexeme"), F.col("type")
     norm = F.when(t.isin("Keyword", "Punct"), x).when(t == "Identifier", "IDENT").when(t == "Number", "NUM").when(t == "String", "STR").otherwise("RAW")
-    d = d.withColumn("norm", norm).withColumn("start_byte", F.col("at")).withColumn("end_byte", F.col("at") + F.col("size"))
+    return d.where("type is not null").withColumn("norm", norm)
+
+
+def lex_python(df: DataFrame) -> DataFrame:
+    d = _typed_python(_placed(_lexemes_python(df)))
+    d = d.withColumn("start_byte", F.col("at")).withColumn("end_byte", F.col("at") + F.col("size"))
     return _numbered(d.withColumn("tid", intern(F.col("norm"))))
 
 
+def python_ids(df: DataFrame) -> DataFrame:
+    return _ids(_typed_python(_lexemes_python(df)))
+
+
 def word_id(word: Column) -> Column:
     """A number under 2^24 from the word's md5."""
     return F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("long")
@@ -189,10 +221,19 @@ def prose_ids(df: DataFrame) -> DataFrame:
 LEXERS: dict[str, Callable[[DataFrame], DataFrame]] = {"cpp": lex_cpp, "python": lex_python, "prose": lex_prose}
 
 
-def lex(df: DataFrame) -> DataFrame:
+#: The same without places, for steps that need none.
+LIGHT: dict[str, Callable[[DataFrame], DataFrame]] = {"cpp": cpp_ids, "python": python_ids, "prose": prose_ids}
+
+
+def lex(df: DataFrame, lexers: dict[str, Callable[[DataFrame], DataFrame]] = LEXERS) -> DataFrame:
     """Tokens of submissions (grp, sub_id, language, source) by their languages' lexers."""
     out = None
-    for name, lexer in LEXERS.items():
+    for name, lexer in lexers.items():
         own = lexer(df.where(F.col("language") == name))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def lex_ids(df: DataFrame) -> DataFrame:
+    """(grp, sub_id, pos, tid) of submissions by their languages' lexers."""
+    return lex(df, LIGHT)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators.fingerprint import fingerprints
-from ..operators.lexers import lex
+from ..operators.lexers import lex, lex_ids
 from ..params import Params
 
 
@@ -81,7 +81,7 @@ def analyze(submissions: DataFrame, params: Params = Params(), starter: DataFram
 
     ``ids``: a cheaper lexer for the hashing steps, where offsets are not needed.
     """
-    light = ids or lexer
+    light = ids or (lex_ids if lexer is lex else lexer)
     raw = fingerprints(light(submissions), params.k, params.w).persist()
     gone = fingerprints(light(starter), params.k, params.w) if starter is not None else None
     kept = M.filtered(raw, submissions, params, gone).persist()

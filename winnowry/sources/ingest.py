@@ -126,7 +126,7 @@ OPERATORS = "+ - * / % & | ^".split()
 
 
 def _statements(d: DataFrame, draw) -> DataFrame:
-    """d (id, body, i) with the line of each number i: a form and two expressions; one of three expressions is a single term."""
+    """d (id, body, i) with the line of each number i: a form and two expressions; three of four expressions are a single term."""
     at, terms = F.col("i"), ("al", "ar", "bl", "br")
     d = d.withColumns({f"v_{t}": F.concat(F.lit("q"), draw(f"v{t}", at, 40).cast("string")) for t in (*terms, "to")} | {f"n_{t}": draw(f"n{t}", at, 900).cast("string") for t in terms} | {f"k_{t}": draw(f"t{t}", at, 4) for t in terms})
 
@@ -134,9 +134,9 @@ def _statements(d: DataFrame, draw) -> DataFrame:
         v = F.col(f"v_{t}")
         return F.when(F.col(f"k_{t}") == 0, v).when(F.col(f"k_{t}") == 1, F.col(f"n_{t}")).when(F.col(f"k_{t}") == 2, F.concat(F.lit("f("), v, F.lit(")"))).otherwise(F.concat(F.lit("w["), v, F.lit("]")))
 
-    d = d.withColumns({f"t_{t}": term(t) for t in terms} | {f"o_{x}": draw(f"o{x}", at, len(OPERATORS)).cast("int") for x in "ab"} | {f"x_{x}": draw(f"x{x}", at, 3) for x in "ab"})
+    d = d.withColumns({f"t_{t}": term(t) for t in terms} | {f"o_{x}": draw(f"o{x}", at, len(OPERATORS)).cast("int") for x in "ab"} | {f"x_{x}": draw(f"x{x}", at, 4) for x in "ab"})
     operator = lambda x: F.element_at(F.array(*map(F.lit, OPERATORS)), F.col(f"o_{x}") + 1)
-    d = d.withColumns({x: F.when(F.col(f"x_{x}") < 1, F.col(f"t_{x}l")).otherwise(F.concat_ws(" ", f"t_{x}l", operator(x), f"t_{x}r")) for x in "ab"} | {"form": draw("form", at, 8)})
+    d = d.withColumns({x: F.when(F.col(f"x_{x}") < 3, F.col(f"t_{x}l")).otherwise(F.concat_ws(" ", f"t_{x}l", operator(x), f"t_{x}r")) for x in "ab"} | {"form": draw("form", at, 8)})
     forms = ["{to} = {a};", "emit({a});", "w[{a}] = {b};", "{to} <<= {a};", "{to} ^= {a};", "long {to}{{{a}}};", "if ({a}) {to}++;", "{to} -= {a};"]
     filled = None
     for k, form in enumerate(forms):

@@ -30,7 +30,3 @@ def intern(norm: Column) -> Column:
     """Number of a normalized token; anything else is one more."""
     table = F.create_map(*[F.lit(x) for pair in IDS.items() for x in pair])
     return F.coalesce(F.element_at(table, norm), F.lit(UNKNOWN)).cast("long")
-
-
-def classify_identifier(text: Column, keywords: list[str]) -> Column:
-    return F.when(text.isin(keywords), text).otherwise(F.lit("IDENT"))
