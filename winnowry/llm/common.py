@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import release
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -65,6 +68,13 @@ def discard(df: DataFrame) -> None:
             _MADE.discard(name)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of what spent frames still hold on the driver, for a job of many small plans: plans, broadcasts, and with them shuffle files."""
+    gc.collect()
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that df does not have."""
     taken = {c.lower() for c in df.columns}

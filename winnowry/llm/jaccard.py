@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import PACKED, blocks, pack, packed_batches, release, unpack
-from .common import discard, fan_out, free, materialise, table
+from .common import discard, fan_out, free, materialise, settle, table
 from .components import components
 
 #: Clusters of more sets or elements are worked on in chunks of so many sets, in rounds of at first PIVOTS pivots, four times as many each time up to MOST_PIVOTS.
@@ -339,7 +339,7 @@ def resolve_large(sets: DataFrame, percent: int, chunk_sets: int = CHUNK_SETS, p
     sizes = sets.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), F.ceil(F.col("members") / chunk_sets).cast("int").alias("chunks"))
     sets = materialise(sets.join(sizes, F.col("comp") == F.col("c")).select("node", "comp", "elements", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
     state = materialise(sets.select("node", "comp", F.col("node").alias("label"), F.lit(False).alias("done")))
-    turn = 0
+    turn, spark = 0, sets.sparkSession
 
     def compare(t: pa.Table) -> pa.Table:
         order = np.argsort(~np.array(t.column("pivot").to_pylist(), bool), kind="stable")
@@ -376,6 +376,7 @@ def resolve_large(sets: DataFrame, percent: int, chunk_sets: int = CHUNK_SETS, p
         state = state.join(to, F.col("label") == F.col("k"), "left").join(chosen, F.col("node") == F.col("p"), "left")
         state = materialise(state.select("node", "comp", F.coalesce("to", "label").alias("label"), (F.col("done") | F.col("p").isNotNull()).alias("done")))
         discard(before)
+        settle(spark)
     return state.select("node", F.col("label").alias("comp"))
 
 
@@ -405,6 +406,7 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, cluster_set
     else:
         nodes = nodes.select("node", "least", F.col("node").alias("root"))
     nodes = materialise(nodes)
+    settle(df.sparkSession)
     # a cluster may hold a large part of all nodes, so its name goes to its members by SALTS keys; nodes by themselves need none
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")).where("members > 1")

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, free, materialise, table
+from .common import SPACES, WORD, free, materialise, settle, table
 
 #: Share of rows that concentration steps keep.
 CORE = 0.75
@@ -185,6 +185,7 @@ def estimate(x: DataFrame, stats: list[str], few: bool, prior: DataFrame | None
         core = d.join(_small(cut, few), (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_s"))).where("d2 <= cut")
         core = core.groupBy(*by, "start").agg(*_moments(stats), F.first("was").alias("was"))
         at = materialise(_whitener(_regular(core, prior, stats, few), p))
+        settle(x.sparkSession)
         if at.where(F.col("logdet") < F.col("was") - TOLERANCE).isEmpty():
             break
     best = at.groupBy(*by).agg(F.min_by(F.struct(*[c for c in at.columns if c not in (*by, "was")]), F.struct("logdet", "start")).alias("b")).select(*by, "b.*").drop("start", "logdet")
@@ -211,7 +212,9 @@ def fit(rows: DataFrame, stats: list[str] = STATS) -> DataFrame:
     x = x.drop("lang", "source")
     of_langs = estimate(x.select(F.col("up").alias("grp"), "up", *stats), stats, few)
     found = estimate(x, stats, few, of_langs).withColumnRenamed("grp", "_g").drop("up", "n", *[f"c{i}_{j}" for i, j in _lower(len(stats))])
-    return materialise(keys.join(found, F.col("grp") == F.col("_g")).drop("grp", "_g"))
+    fitted = materialise(keys.join(found, F.col("grp") == F.col("_g")).drop("grp", "_g"))
+    settle(rows.sparkSession)
+    return fitted
 
 
 def judge(rows: DataFrame, fitted: DataFrame, told: Column, lang_col: str = "lang", source_col: str = "source", cut: float = CUT, stats: list[str] = STATS) -> tuple[DataFrame, Column, Column]:

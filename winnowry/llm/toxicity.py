@@ -273,6 +273,8 @@ def train(texts: list, labels: list, langs: list, cut: float = 0.7, seed: int =
     final = TextCNN(seed)
     final.fit(docs, y)
     final.scale, final.thresholds = model.scale, model.thresholds
+    del docs, seen, model
+    release()  # the driver goes on to other stages
     return final
 
 
