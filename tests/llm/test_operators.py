@@ -389,7 +389,7 @@ def test_next_row(spark, docs):
             assert [(r.doc_id, r.text, r.next_text, r.next_n) for r in got] == [(*w, after[1], None if after[1] is None else len(after[1])) for w, after in zip(want, want[1:] + want[:1], strict=True)]
     assert fingerprints.with_next(docs.limit(1), "doc_id", ["text"], 3).count() == 1
     tied = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c")], "doc_id long, text string")
-    assert [r.next_text for r in fingerprints.with_next(tied, "doc_id", ["text"], 3).orderBy("doc_id", "text").collect()] == ["a", "b", "c", "a"]
+    assert [r.next_text for r in fingerprints.with_next(tied, "doc_id", ["text"], 3).orderBy("doc_id", "text", "next_text").collect()] == ["a", "b", "c", "a"]
 
 
 def test_toxicity(spark, docs, none):
