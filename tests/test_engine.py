@@ -369,3 +369,75 @@ def test_oracle(spark, sf, name):
     got = sorted(str(tuple(r)) for r in a.select(*cols).collect())
     assert got == want and (got or name in ("contamination", "pairs_page2", "frequent_set", "exclusion_set", "conversation_dups", "unfinished_requests"))  # few rows at this scale
     spark.catalog.clearCache()
+
+
+def _brute_regions(a, b, p):
+    """Byte ranges in a of the regions of two documents, by the rule of the SQL."""
+    pairs = sorted((x[1], y[1], i) for i, x in enumerate(a) for y in b if x[0] == y[0])
+    islands = []
+    for n, (x, y, i) in enumerate(pairs):
+        go_on = n and x - pairs[n - 1][0] <= p.w and 1 <= y - pairs[n - 1][1] <= p.w
+        islands[-1:] = [[*islands[-1], (x, i)]] if go_on else [*islands[-1:], [(x, i)]]
+    ranked = sorted(enumerate(islands), key=lambda r: (r[1][0][0] - r[1][-1][0], r[1][0][0], r[0]))
+    return [(a[r[0][1]][2], a[r[-1][1]][3]) for _, r in ranked[: p.max_regions]]
+
+
+def test_packed_regions_by_chunks(monkeypatch):
+    import numpy as np
+
+    from winnowry.operators import packed as K
+
+    r = random.Random(9)
+    for case in range(60):
+        p = Params(k=3, w=4, max_regions=r.choice([3, 200]))
+        side = lambda: [(r.randrange(4), pos, pos * 7, pos * 7 + 20) for pos in sorted(r.sample(range(60), r.randrange(1, 30)))]
+        a, b = side(), side()
+        monkeypatch.setattr(K, "CHUNK", r.choice([1, 5, 1 << 20]))
+        by_hash = np.array(sorted((h, pos) for h, pos, *_ in b)).T
+        got = K.regions(list(np.array(a).T), list(by_hash), p)
+        assert list(zip(*[x.tolist() for x in got], strict=True)) == _brute_regions(a, b, p), case
+
+
+def test_packed_columns():
+    import numpy as np
+
+    from winnowry.operators import packed as K
+
+    cols = [np.array([1 << 59, 0, -5]), np.array([-(1 << 62), 7, 1 << 62]), np.array([3, 3, 3])]
+    assert all((x == y).all() for x, y in zip(cols, K.unpack(K.pack(*cols), 3), strict=True))
+    few = K._few([np.array([5, 5, 5, 5, 9, 5]), np.array([1, 1, 2, 3, 3, 4])], 2)
+    assert few[1].tolist() == [1, 1, 2, 3, 3]  # one document more than the cap is enough to exclude a hash
+    text = "ΟΔΟΣ İx 😀é9_a"
+    ids, start, end = K.words(text)
+    assert [text.encode()[s:e].decode() for s, e in zip(start, end, strict=True)] == ["ΟΔΟΣ", "İx", "é9", "a"]
+    assert ids.tolist() == [K._Ids()[w] for w in ("οδοσ", "ix", "é9", "a")]
+
+
+def test_highlight_spans_of_odd_texts(spark, tmp_path):
+    """Neither tokens nor position pairs are rows, and odd texts give what the SQL gives."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdéßσΣİ中😀") for _ in range(3))
+    passage = " ".join(f"{word()}{i}" for i in range(60))
+    again = " ".join(["one two three four five six seven eight nine ten"] * 25)
+    fresh = lambda n: " ".join(f"{word()}{r.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{fresh(20)} {passage if i % 3 else again} {fresh(i)}", "en") for i in range(9)]
+    rows += [(20, None, "en"), (21, "", "en"), (22, "?! --", "en"), (23, passage[:20], "en"), (24, passage, None), (None, passage, "en"), (-3, passage, "en")]
+    rows += [(i, fresh(30), "en") for i in range(30, 50)]
+    rows += [(4, fresh(9) + again + passage, "de"), (60, again + passage, "de"), (61, again, "de"), (62, fresh(12), "de"), (63, fresh(12), "de"), (64, fresh(12), "de")]
+    rows += [(i, "the same words in every one of the many texts of a small group " + fresh(5), "fr") for i in range(70, 74)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(passage.split()[20:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = e.queries()["highlight_spans"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().toString()
+    cols = ["doc", "start", "end", "n_regions", "first_region"]
+    want = con.sql(e.oracle_sql()["highlight_spans"]).select(*[f'"{c}"' for c in cols]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in got.select(*cols).collect()) and any(x[3] > 1 for x in want)
+    assert "posexplode" not in plan
+    spark.catalog.clearCache()
